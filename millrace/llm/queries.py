@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pages, residue, tokens
+from . import charset, packing, pages, residue, tokens
 from .common import table
 
 
@@ -19,6 +19,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.outside(texts).join(residue.residue_ids(texts), "id", "left_anti")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return charset.affected_ids(table(spark, sf_dir, "texts"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
 
@@ -28,7 +32,7 @@ def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p7_ids": p7_ids, "p8_packed": p8_packed}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p7_ids": p7_ids, "p8_packed": p8_packed}
 
 
 def oracle_sql() -> dict[str, str]:
