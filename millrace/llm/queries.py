@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import charset, packing, pages, residue, tokens
+from . import charset, packing, pages, residue, sitelines, tokens
 from .common import table
 
 
@@ -23,6 +23,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return charset.affected_ids(table(spark, sf_dir, "texts"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "texts")
+    excluded = residue.residue_ids(texts).unionByName(charset.affected_ids(texts)).distinct()
+    return sitelines.repeated_lines(texts, table(spark, sf_dir, "warc_records"), excluded)
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
 
@@ -32,7 +38,7 @@ def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p7_ids": p7_ids, "p8_packed": p8_packed}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_packed": p8_packed}
 
 
 def oracle_sql() -> dict[str, str]:
