@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import charset, packing, pages, residue, sitelines, tokens
+from . import charset, packing, pages, residue, sitelines, subjects, tokens
 from .common import table
 
 
@@ -37,8 +37,14 @@ def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = subjects.fit(docs, table(spark, sf_dir, "subject_labels"))
+    return subjects.assign(docs, model).select("doc_id", "subject").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_packed": p8_packed}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_packed": p8_packed, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
