@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import charset, packing, pages, residue, sitelines, subjects, tokens
+from . import charset, packing, pages, residue, sitelines, subjects, tokens, toxicity
 from .common import table
 
 
@@ -14,6 +14,18 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue_ids(table(spark, sf_dir, "texts"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "texts")
+    model = toxicity.fit(texts, table(spark, sf_dir, "labels"))
+    return toxicity.scores(texts, model).where("id IS NOT NULL AND toxic").select("id").distinct()
+
+
+def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "texts")
+    model = toxicity.fit(texts, table(spark, sf_dir, "labels"))
+    return toxicity.rates(toxicity.scores(texts, model), table(spark, sf_dir, "warc_records"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "texts")
     return pages.outside(texts).join(residue.residue_ids(texts), "id", "left_anti")
@@ -44,7 +56,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_packed": p8_packed, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_packed": p8_packed, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
