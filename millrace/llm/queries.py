@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import charset, packing, pages, residue, sitelines, subjects, tokens, toxicity
+from . import charset, packing, pages, quality, residue, sitelines, subjects, tokens, toxicity
 from .common import table
 
 
@@ -35,6 +35,15 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return charset.affected_ids(table(spark, sf_dir, "texts"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "texts")
+    return quality.not_prose_ids(texts).join(residue.residue_ids(texts), "id", "left_anti")
+
+
+def p5_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.statistics(table(spark, sf_dir, "texts"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "texts")
     excluded = residue.residue_ids(texts).unionByName(charset.affected_ids(texts)).distinct()
@@ -56,7 +65,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_packed": p8_packed, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_statistics": p5_statistics, "p6_found": p6_found, "p7_ids": p7_ids, "p8_packed": p8_packed, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
