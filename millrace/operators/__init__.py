@@ -1,0 +1 @@
+"""DataFrame operators: extraction, filters, decisions, totals, comparison."""

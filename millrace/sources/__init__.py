@@ -1,0 +1 @@
+"""Sources: WARC, JSONL, word lists, decision tables."""
