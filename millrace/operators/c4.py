@@ -76,9 +76,9 @@ def bad_word_reason(text: Column, words: list[str] | tuple[str, ...]) -> Column:
         return F.when(text.isNotNull(), F.lit(""))
     # At one place the regex takes the first alternative that fits, which is the one wanted.
     hits = F.regexp_extract_all(T.ascii_lower(text), F.lit(r"(?<![a-z0-9])(?=(" + "|".join(map(T.quote, usable)) + r")(?![a-z0-9]))"), 1)
-    literal = F.array(*[F.lit(w) for w in usable])
-    first = F.get(F.filter(literal, lambda w: F.array_contains(hits, w)), F.lit(0))
-    return F.when(text.isNull(), F.lit(None).cast("string")).when(F.size(hits) == 0, F.lit("")).otherwise(F.concat(F.lit("badword: "), first))
+    # The intersection keeps the list's order and evaluates the regex once.
+    first = F.get(F.array_intersect(F.array(*[F.lit(w) for w in usable]), hits), F.lit(0))
+    return F.when(text.isNotNull(), F.coalesce(F.concat(F.lit("badword: "), first), F.lit("")))
 
 
 def bad_words_by_join(docs: DataFrame, entries: DataFrame, key: str, text: str = "text", entry: str = "entry", order: str = "entry_no") -> DataFrame:
