@@ -54,6 +54,7 @@ PROFILES = {
     "prose-ja": (0.00, 0.50, 0.35, 0.09, 0.02, 0.03, 0.01),
     "list-plain": (0.00, 0.01, 0.45, 0.35, 0.09, 0.09, 0.01),
     "list-named": (0.00, 0.01, 0.10, 0.65, 0.10, 0.13, 0.01),
+    "list-numbered": (0.00, 0.01, 0.24, 0.40, 0.20, 0.14, 0.01),
     "list-articles": (0.27, 0.03, 0.30, 0.30, 0.05, 0.04, 0.01),
     "table-named": (0.00, 0.01, 0.10, 0.40, 0.32, 0.16, 0.01),
     "table-numbers": (0.00, 0.00, 0.08, 0.12, 0.55, 0.24, 0.01),
@@ -136,7 +137,7 @@ def shares(line: str, lang: str) -> tuple[float, ...]:
                     n[2] += 1
             elif c.isdigit():
                 n[4] += 1
-            elif t not in (".", ",", "?", "!", "'", "’", "-", "—", "–", '"', "¿", "¡", "«", "»"):
+            elif t not in (".", ",", "(", ")", "?", "!", "'", "’", "-", "—", "–", '"', "¿", "¡", "«", "»"):
                 n[5] += len(t) if len(t) > 2 else 1
         # A chunk without blanks that mixes everything is one string, however it falls apart.
         for chunk in line.split():
@@ -195,7 +196,7 @@ def shape(own: list[str]) -> tuple[str, float]:
     kinds: Counter[str] = Counter()
     for line in own:
         kind = nearest(tuple(round(20 * x) / 20 for x in shares(line, lang))).split("-")[0]
-        if kind == "prose" and len(_LETTERS.findall(line)) < 4:
+        if kind == "prose" and (len(line) < 12 if lang == "ja" else len(_LETTERS.findall(line)) < 4):
             kind = "list"
         if kind != "prose" and len(line) > 60 and not line.isascii() and len(_GARBLE.findall(line)) > 0.12 * len(line):
             kind = "prose"  # a paragraph that was decoded wrongly
