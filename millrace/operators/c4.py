@@ -25,9 +25,8 @@ def candidate_lines(text: Column, cfg: C4Quality = C4Quality()) -> Column:
     return F.filter(lines, lambda x: (x != "") & ok(x))
 
 
-def _kind(line: Column, cfg: C4Quality) -> Column:
+def _kind(line: Column, low: Column, cfg: C4Quality) -> Column:
     """What a candidate line does: keep, skip, or drop the document for a reason."""
-    low = T.ascii_lower(line)
     out = F.when(F.lit(False), F.lit(""))
     if cfg.lorem_ipsum:
         out = out.when(F.contains(low, F.lit("lorem ipsum")), F.lit("lorem_ipsum"))
@@ -44,7 +43,9 @@ def _kind(line: Column, cfg: C4Quality) -> Column:
 def quality(df: DataFrame, text: str = "text", cfg: C4Quality = C4Quality(), prefix: str = "c4") -> DataFrame:
     """Adds ``<prefix>_reason`` and ``<prefix>_text`` (kept lines; the text as it was if dropped)."""
     marked, reason, kept = f"_{prefix}_lines", f"{prefix}_reason", f"_{prefix}_kept"
-    lines = F.transform(candidate_lines(F.col(text), cfg), lambda x: F.struct(_kind(x, cfg).alias("kind"), x.alias("line")))
+    # Lowered once a line: within a lambda nothing is shared between branches.
+    lines = F.transform(candidate_lines(F.col(text), cfg), lambda x: F.struct(x.alias("line"), T.ascii_lower(x).alias("low")))
+    lines = F.transform(lines, lambda x: F.struct(_kind(x["line"], x["low"], cfg).alias("kind"), x["line"].alias("line")))
     out = T.once(df, {marked: lines})
     event = F.get(F.filter(F.col(marked), lambda x: x["kind"].isin("lorem_ipsum", "curly_bracket")), F.lit(0))["kind"]
     out = out.withColumn(kept, F.transform(F.filter(F.col(marked), lambda x: x["kind"] == "keep"), lambda x: x["line"]))

@@ -11,6 +11,7 @@ from ..config import Pipeline
 from ..functions import text as T
 from ..operators import c4, compare, extract, gopher, pipeline
 from ..sinks import csv_line, json_line
+from ..sources.spread import spread
 from .sql import oracle_sql as _sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,7 +20,12 @@ LITERAL_ENTRIES = 2_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in LONG_ROWS else df
+
+
+#: Tables whose rows are long texts; the others are read as they are.
+LONG_ROWS = {"texts", "documents", "warc_records"}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
