@@ -30,8 +30,11 @@ WINDOW = 12
 #: Threshold on the score if there is nothing to calibrate on.
 THRESHOLD = 1.0
 ROUNDS = 2
-#: Summed log ratios of its words below which a passage is not scored.
-EVIDENCE = 4.0
+#: Words that a passage counts as having at least; missing ones speak for nothing.
+LEAST_WORDS = 3
+#: Trigrams, bigrams and short sentences whose results a worker remembers.
+MEMO = 200_000
+MEMO_CHARS = 100
 
 _SPLIT = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n")
 _TOKEN = re.compile(r"[぀-ヿ㐀-鿿]|[^\W\d_]+(?:[’'][^\W\d_]+)?\**[^\W\d_]*|\d+")
@@ -105,6 +108,11 @@ def sentences(text: str) -> list[str]:
     return [s for s in _SPLIT.split(text) if s and len(s) > 9]
 
 
+def open_words(sentence: str) -> list[str]:
+    """``words`` of a sentence that hides nothing and holds no unspaced script."""
+    return ["0" if w[0].isdigit() else w for w in _TOKEN.findall(sentence.lower())]
+
+
 class KneserNey:
     """Interpolated Kneser-Ney trigrams of one class upon lowest-order counts shared by the classes."""
 
@@ -132,24 +140,23 @@ class KneserNey:
         self.uni_n = max(1, sum(self.uni.values()))
         self.uni_left = DISCOUNT * len(self.uni) / self.uni_n if self.uni else 1.0
 
-    def p(self, a: str, b: str, c: str) -> float:
+    def low(self, b: str, c: str) -> float:
+        """Bigram probability, which does not depend on the word before."""
         u = self.uni.get(c, 0)
         out = (u - DISCOUNT) / self.uni_n if u else 0.0
         out += self.uni_left * self.base.get(c, self.unseen)
         n = self.bi_n.get(b, 0)
         if n:
             out = max(self.bi.get((b, c), 0) - DISCOUNT, 0) / n + DISCOUNT * self.bi_kinds[b] / n * out
-            n = self.tri_n.get((a, b), 0)
-            if n:
-                out = max(self.tri.get((a, b, c), 0) - DISCOUNT, 0) / n + DISCOUNT * self.tri_kinds[a, b] / n * out
         return out
 
-    def logs(self, p: list[str]) -> list[float]:
-        a, b, out = "<s>", "<s>", []
-        for c in p:
-            out.append(math.log(self.p(a, b, c)))
-            a, b = b, c
-        return out
+    def p(self, a: str, b: str, c: str) -> float:
+        return self.upon((a, b, c), self.low(b, c))
+
+    def upon(self, key: tuple, low: float) -> float:
+        """Trigram probability upon that of its last two words."""
+        n = self.tri_n.get(key[:2], 0)
+        return max(self.tri.get(key, 0) - DISCOUNT, 0) / n + DISCOUNT * self.tri_kinds[key[:2]] / n * low if n else low
 
 
 class Scorer:
@@ -181,50 +188,62 @@ class Scorer:
             if len(w) > 2:
                 self.masks[w[0], len(w), w[-1]] = w
         self.threshold = THRESHOLD
-
-    def fill(self, p: list[str]) -> list[str]:
-        return [self.masks.get((w[0], len(w), w[-1]), w) if "*" in w else w for w in p]
+        self.gains: dict[tuple, float] = {}
+        self.lows: dict[tuple, tuple[float, float]] = {}
+        self.short: dict[str, float] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"gains": {}, "lows": {}, "short": {}}
+
+    def gain(self, key: tuple) -> float:
+        """Log-likelihood difference of a trigram's last word."""
+        lows = self.lows.get(key[1:])
+        if lows is None:
+            lows = self.toxic.low(*key[1:]), self.plain.low(*key[1:])
+            if len(self.lows) < MEMO:
+                self.lows[key[1:]] = lows
+        g = math.log(self.toxic.upon(key, lows[0]) / self.plain.upon(key, lows[1]))
+        # That a name stands somewhere speaks for nothing.
+        g = min(g, 0.0) if key[2] == "<rare>" else g
+        if len(self.gains) < MEMO:
+            self.gains[key] = g
+        return g
 
     def passage(self, p: list[str]) -> float:
         """Mean log-likelihood difference a word; of the worst window within a long sentence."""
-        p = [w if w in self.vocabulary else "<rare>" for w in self.fill(p)]
-        if len(p) < 3:
-            return -9.0
-        # That a name stands somewhere speaks for nothing.
-        gain = [min(x - y, 0.0) if w == "<rare>" else x - y for w, x, y in zip(p, self.toxic.logs(p), self.plain.logs(p), strict=True)]
+        vocabulary, known = self.vocabulary, self.gains
+        a, b, gain = "<s>", "<s>", []
+        for w in p:
+            if "*" in w:
+                w = self.masks.get((w[0], len(w), w[-1]), w)
+            c = w if w in vocabulary else "<rare>"
+            g = known.get((a, b, c))
+            gain.append(self.gain((a, b, c)) if g is None else g)
+            a, b = b, c
         if len(gain) <= WINDOW + 4:
-            return sum(gain) / len(gain)
+            return sum(gain) / max(LEAST_WORDS, len(gain))
         now = best = sum(gain[:WINDOW])
         for i in range(WINDOW, len(gain)):
             now += gain[i] - gain[i - WINDOW]
             best = max(best, now)
         return best / WINDOW
 
-    def evidence(self, p) -> float:
-        """Summed log ratios of the words that speak for the toxic model."""
-        tells = self.tells
-        return sum(tells[w] for w in tells.keys() & set(p))
-
-    def text(self, text: str, every: bool = False) -> float:
-        """The worst passage's score.
-
-        Words are judged before passages: a text, line or sentence whose words
-        together give the toxic model less than ``EVIDENCE`` is passed over unless ``every``.
-        """
+    def text(self, text: str) -> float:
+        """The worst passage's score, over all passages with a word; -9 without any."""
         worst = -9.0
-        hidden = hides(text)
-        east = _EAST_RUN.search(text)
-        if not every and not hidden and not east and self.evidence(_WORD.findall(text.lower())) < EVIDENCE:
-            return worst
-        for line in text.split("\n"):
-            if len(line) < 10:
-                continue
-            if not every and self.evidence(_WORD.findall(line.lower())) < EVIDENCE and not (hidden and hides(line)) and not (east and _EAST_RUN.search(line)):
+        hidden, east = hides(text), _EAST_RUN.search(text)
+        short = self.short
+        for s in _SPLIT.split(text):
+            if not s:
                 continue
-            for s in sentences(line):
-                p = self.fill(words(s))
-                if every or self.evidence(p) >= EVIDENCE:
-                    worst = max(worst, self.passage(p))
+            got = short.get(s)
+            if got is None:
+                p = words(s) if "&" in s or (hidden and hides(s)) or (east and _EAST_RUN.search(s)) else open_words(s)
+                got = self.passage(p) if p else -9.0
+                if len(s) <= MEMO_CHARS and len(short) < MEMO:
+                    short[s] = got
+            if got > worst:
+                worst = got
         return worst
 
 

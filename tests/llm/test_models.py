@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from millrace.llm import quality, subjects, toxicity
 
 NAMES = ["Anna", "Boris", "Carla", "Denis", "Elsa", "Fritz"]
@@ -31,6 +33,17 @@ def test_held_out_accuracy_with_wrong_labels():
     assert scorer.text("") < scorer.threshold and scorer.text("A bitch and her 4 pups won the show, said Kim.") < scorer.threshold
 
 
+def test_every_passage_is_scored():
+    toxic = [["you", "are", "a", "filthy", "idiot"], ["what", "an", "idiot"], ["idiot", "go", "away"]] * 3
+    plain = [["the", "old", "lamp", "was", "lit", "every", "night"], ["you", "are", "a", "friend"], ["go", "home", "now"]] * 9
+    scorer = toxicity.Scorer(toxic, plain, set())
+    # Ordinary texts and single short words have a real score, whatever their words say.
+    assert scorer.text("The old lamp was lit every night") > -9.0
+    assert scorer.text("The old lamp was lit.\nIdiot!") > scorer.text("The old lamp was lit.\nHome!") > -9.0
+    assert scorer.text("") == scorer.text(" ... ") == -9.0
+    assert scorer.text("You are a friend") == pytest.approx(scorer.passage(["you", "are", "a", "friend"]))
+
+
 def test_kneser_ney_is_a_distribution():
     rng = random.Random(3)
     words = "a b c d e".split()
