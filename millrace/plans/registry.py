@@ -132,6 +132,19 @@ def first_500_decisions(spark: SparkSession, d: str) -> DataFrame:
     return pipeline.decisions(extract.extract_texts(first, ill_formed="null"))
 
 
+def warc_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """The reference's main job: every response of the crawl through extraction and the filter chain."""
+    return pipeline.decisions(extract.extract_texts(table(spark, d, "warc_records")))
+
+
+def warc_totals(spark: SparkSession, d: str) -> DataFrame:
+    return pipeline.totals(extract.extract_texts(table(spark, d, "warc_records")))
+
+
+def warc_drop_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return pipeline.drop_reasons(warc_decisions(spark, d))
+
+
 def decision_csv(spark: SparkSession, d: str) -> DataFrame:
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     return table(spark, d, "decisions").select(csv_line(F.col("record_id"), blank("status"), blank("reason")).alias("line"))
@@ -173,5 +186,11 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in own}
 
 
+def whole_queries() -> dict[str, Query]:
+    """Queries whose rows include payloads that are no UTF-8, which the SQL cannot read; tested by brute force."""
+    own = [warc_decisions, warc_totals, warc_drop_reasons]
+    return {f.__name__: f for f in own}
+
+
 def oracle_sql() -> dict[str, str]:
     return _sql()
