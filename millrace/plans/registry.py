@@ -41,6 +41,15 @@ def extract_text(spark: SparkSession, d: str) -> DataFrame:
     return extract.extract_texts(table(spark, d, "warc_records"), ill_formed="null")
 
 
+def extract_text_whole(spark: SparkSession, d: str) -> DataFrame:
+    """``extract_text`` with U+FFFD for what is no UTF-8, instead of no text."""
+    return extract.extract_texts(table(spark, d, "warc_records"))
+
+
+def first_500_whole(spark: SparkSession, d: str) -> DataFrame:
+    return pipeline.decisions(extract.extract_texts(extract.first_responses(table(spark, d, "warc_records"), 500)))
+
+
 def warc_fields(spark: SparkSession, d: str) -> DataFrame:
     h = F.col("headers")
     size = F.coalesce(F.octet_length("content"), F.lit(0))
@@ -188,7 +197,7 @@ def queries() -> dict[str, Query]:
 
 def whole_queries() -> dict[str, Query]:
     """Queries whose rows include payloads that are no UTF-8, which the SQL cannot read; tested by brute force."""
-    own = [warc_decisions, warc_totals, warc_drop_reasons]
+    own = [extract_text_whole, first_500_whole, warc_decisions, warc_totals, warc_drop_reasons]
     return {f.__name__: f for f in own}
 
 
