@@ -15,9 +15,11 @@ import html
 import re
 from collections.abc import Iterator
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import charset
 from .common import map_rows, spread
 
 #: Lines summed by the sliding window, and the sum in characters that counts as text.
@@ -251,19 +253,19 @@ def bodies(df: DataFrame, key: str = "id", text: str = "text", key_type: str = "
     return map_rows(spread(df.select(key, text)), [key, text], f"`{key}` {key_type}, body string", run)
 
 
-def record_bodies(records: DataFrame) -> DataFrame:
-    """``path, ordinal, id, body`` of the response records of a crawl: header cut, markup stripped, body kept."""
-    page = F.make_valid_utf8(F.col("content").cast("string"))
-    crlf, lf = F.locate("\r\n\r\n", page), F.locate("\n\n", page)
-    has_header = page.startswith("HTTP/")
-    cut = F.when(has_header & (crlf > 0), F.substring(page, crlf + 4, F.length(page))).when(has_header & (lf > 0), F.substring(page, lf + 2, F.length(page))).otherwise(page)
+def record_bodies(records: DataFrame, model: Broadcast | None = None) -> DataFrame:
+    """``path, ordinal, id, body`` of the response records of a crawl: header cut, bytes decoded, markup stripped, body kept.
+
+    With a ``model`` of ``charset`` the charset of bytes that are no UTF-8 is chosen by the words they make.
+    """
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for path, ordinal, i, t in rows:
-            yield path, ordinal, i, None if t is None else main_body(strip_markup(t))
+        channel = charset._channel(model) if model else None
+        for path, ordinal, i, content in rows:
+            yield path, ordinal, i, None if content is None else main_body(strip_markup(charset.decode(content, channel)))
 
-    pages = records.where(F.col("type") == "response").select("path", "ordinal", "id", cut.alias("page"))
-    return map_rows(spread(pages), ["path", "ordinal", "id", "page"], "path string, ordinal long, id string, body string", run)
+    pages = records.where(F.col("type") == "response").select("path", "ordinal", "id", "content")
+    return map_rows(spread(pages), ["path", "ordinal", "id", "content"], "path string, ordinal long, id string, body string", run)
 
 
 def outside(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:

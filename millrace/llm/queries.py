@@ -31,6 +31,22 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.outside(texts).join(residue.residue_ids(texts), "id", "left_anti")
 
 
+def p3_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.bodies(table(spark, sf_dir, "texts"))
+
+
+def p3_record_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.record_bodies(table(spark, sf_dir, "warc_records"), charset.fit(table(spark, sf_dir, "texts")))
+
+
+def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return charset.restore(table(spark, sf_dir, "texts"))
+
+
+def p4_record_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return charset.record_texts(table(spark, sf_dir, "warc_records"), charset.fit(table(spark, sf_dir, "texts")))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return charset.affected_ids(table(spark, sf_dir, "texts"))
 
@@ -50,6 +66,10 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitelines.repeated_lines(texts, table(spark, sf_dir, "warc_records"), excluded)
 
 
+def p6_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitelines.without_lines(table(spark, sf_dir, "texts"), p6_found(spark, sf_dir))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
 
@@ -65,7 +85,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_statistics": p5_statistics, "p6_found": p6_found, "p7_ids": p7_ids, "p8_packed": p8_packed, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_bodies": p3_bodies, "p3_record_bodies": p3_record_bodies, "p4_found": p4_found, "p4_restored": p4_restored, "p4_record_texts": p4_record_texts, "p5_found": p5_found, "p5_statistics": p5_statistics, "p6_found": p6_found, "p6_texts": p6_texts, "p7_ids": p7_ids, "p8_packed": p8_packed, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
