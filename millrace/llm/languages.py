@@ -20,15 +20,14 @@ _KANA = re.compile(r"[぀-ヿ]")
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
-def language(text: str, sample: int = 400) -> str:
-    """The language whose function words cover most of the words (of the first ``sample`` words); Japanese by its kana; ``""`` if none does.
+def language(text: str) -> str:
+    """The language whose function words cover most of the words; Japanese by its kana; ``""`` if none does.
 
-    Ties go to the first language of the table. Only a guess's evidence is
-    limited to the sample; nothing is cut from the text.
+    Ties go to the first language of the table.
     """
     if len(_KANA.findall(text)) > 0.1 * len(text):
         return "ja"
-    words = _WORDS.findall(text.lower())[:sample]
+    words = _WORDS.findall(text.lower())
     best, most = "", 0
     for lang, own in _SETS.items():
         n = sum(w in own for w in words)
