@@ -2,9 +2,10 @@
 
 Each line of a main body is described by how its words fall on classes (articles,
 other function words, plain words, capitalised words, numbers, symbols, oversized
-strings) and is assigned to the structural profile whose distribution is nearest by Jensen-Shannon
-divergence; prose has one profile for each language. A body whose characters lie
-mostly in lines of other profiles is a list, a table or junk.
+strings) and is assigned to the structural profile whose distribution is nearest by
+Jensen-Shannon divergence. The prose profile of each language is measured over the corpus: the
+distribution over all lines of main bodies that end as sentences do. A body whose characters
+lie mostly in lines of other profiles is a list, a table or junk.
 """
 
 from __future__ import annotations
@@ -14,14 +15,15 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import chain
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import map_rows, spread
+from . import pages, residue
+from .common import durable, map_rows, spread
 from .languages import FUNCTION_WORDS
-from .pages import _MISREAD, body_lines, is_credit
-from .residue import _HEADLINE
+from .pages import is_credit
 
 #: Share of a body's characters in prose lines from which the body is prose.
 PROSE_SHARE = 0.5
@@ -42,16 +44,8 @@ _FUN = {k: frozenset(v) - _ART[k] | (frozenset("d qu n s c j m t".split()) if k
 _ALL = {k: _ART[k] | _FUN[k] for k in _ART}
 
 CLASSES = ("article", "function", "word", "capital", "number", "symbol", "string")
-# Shares of the classes. Prose by language; then the shapes that are not prose.
-PROFILES = {
-    "prose-en": (0.15, 0.30, 0.40, 0.10, 0.02, 0.02, 0.01),
-    "prose-es": (0.12, 0.36, 0.33, 0.14, 0.02, 0.02, 0.01),
-    "prose-de": (0.13, 0.32, 0.20, 0.30, 0.02, 0.02, 0.01),
-    "prose-fr": (0.14, 0.35, 0.33, 0.13, 0.02, 0.02, 0.01),
-    "prose-pt": (0.16, 0.36, 0.30, 0.13, 0.02, 0.02, 0.01),
-    "prose-pl": (0.00, 0.25, 0.55, 0.15, 0.02, 0.02, 0.01),
-    "prose-ru": (0.00, 0.28, 0.50, 0.17, 0.02, 0.02, 0.01),
-    "prose-ja": (0.00, 0.50, 0.35, 0.09, 0.02, 0.03, 0.01),
+#: Shapes that are not prose, as stated prototypes (shares of the classes).
+SHAPES = {
     "list-plain": (0.00, 0.01, 0.45, 0.35, 0.09, 0.09, 0.01),
     "list-named": (0.00, 0.01, 0.10, 0.65, 0.10, 0.13, 0.01),
     "list-numbered": (0.00, 0.01, 0.24, 0.40, 0.20, 0.14, 0.01),
@@ -63,16 +57,41 @@ PROFILES = {
     "junk-words": (0.02, 0.03, 0.90, 0.02, 0.01, 0.01, 0.01),
     "junk-repeat": (0.05, 0.01, 0.60, 0.31, 0.01, 0.01, 0.01),
 }
+#: What prose of a language is taken to be before any is measured, and how many words that weighs as much as.
+EXPECTED = {
+    "prose-en": (0.15, 0.30, 0.40, 0.10, 0.02, 0.02, 0.01),
+    "prose-es": (0.12, 0.36, 0.33, 0.14, 0.02, 0.02, 0.01),
+    "prose-de": (0.13, 0.32, 0.20, 0.30, 0.02, 0.02, 0.01),
+    "prose-fr": (0.14, 0.35, 0.33, 0.13, 0.02, 0.02, 0.01),
+    "prose-pt": (0.16, 0.36, 0.30, 0.13, 0.02, 0.02, 0.01),
+    "prose-pl": (0.00, 0.25, 0.55, 0.15, 0.02, 0.02, 0.01),
+    "prose-ru": (0.00, 0.28, 0.50, 0.17, 0.02, 0.02, 0.01),
+    "prose-ja": (0.00, 0.50, 0.35, 0.09, 0.02, 0.03, 0.01),
+}
+EXPECTED_WORDS = 500
+#: Words that a line needs to tell of its language's prose.
+PROSE_WORDS = 8
+#: Distinct words a worker remembers.
+MEMO = 200_000
+
 _TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,:/-]\d+)*|[^\w\s]+|_+")
+_ASCII_TOKEN = re.compile(r"[A-Za-z]+|[0-9]+(?:[.,:/-][0-9]+)*|[^A-Za-z0-9_ \t\r\n\f\v]+|_+", re.A)
 _KANA_TOKEN = re.compile(r"[぀-ゟ]|[゠-ヿ]+|[㐀-鿿]+|[A-Za-z]+|\d+(?:[.,:/-]\d+)*|[^\w\s]+")
 _KANA = re.compile(r"[぀-ゟ]")
 _LETTERS = re.compile(r"[^\W\d_]+")
+_OVERSIZED = re.compile(r"\S{31,}")
+#: Charsets that text is read in for each other, for lines that carry no language as they stand.
+_MISREAD = (("cp1252", "utf-8"), ("cp1252", "cp1251"), ("latin-1", "utf-8"), ("latin-1", "cp1251"), ("koi8-r", "cp1251"), ("cp1251", "koi8-r"), ("cp866", "cp1251"), ("cp1251", "cp866"), ("cp1251", "utf-8"), ("cp1250", "utf-8"), ("cp437", "utf-8"), ("mac_roman", "utf-8"), ("iso8859-2", "cp1250"), ("cp1252", "shift_jis"), ("latin-1", "shift_jis"), ("latin-1", "euc-jp"), ("cp1252", "koi8-r"), ("mac_roman", "cp1251"), ("shift_jis", "utf-8"), ("cp1252", "cp1250"), ("cp1252", "iso8859-2"), ("cp1252", "cp866"), ("cp437", "cp1252"), ("mac_roman", "cp1252"), ("cp1252", "euc-jp"), ("cp866", "utf-8"))
 _END = re.compile(r"[.!?…。！？:;\"'”»)]\s*$")
 #: Characters that hardly any script uses among its letters, but wrong decoding yields.
 _GARBLE = re.compile(r"[\x80-\xbf\u0192\u02c6\u02dc\u2018-\u203a\u20ac\u2122\u2200-\u25ff\ufffd\uff61-\uff9f]|[\u0400-\u040f\u0450\u0452-\u045f]|[À-ÿ](?=[À-ÿ])")
 _BLANKS = re.compile(r"\s+")
 
 
+def _tokens(line: str) -> list[str]:
+    return (_ASCII_TOKEN if line.isascii() else _TOKEN).findall(line)
+
+
 def divergence(p: tuple[float, ...], q: tuple[float, ...]) -> float:
     """Jensen-Shannon divergence in bits."""
     out = 0.0
@@ -85,26 +104,77 @@ def divergence(p: tuple[float, ...], q: tuple[float, ...]) -> float:
     return out
 
 
+_LANGS = tuple(_ALL)
+#: Languages (by number) that each function word is of.
+_OF: dict[str, tuple[int, ...]] = {}
+for _i, _own in enumerate(_ALL.values()):
+    for _w in _own:
+        _OF[_w] = (*_OF.get(_w, ()), _i)
+
+
+class _Words(dict):
+    """Languages of a word as it is written, remembered; () for most words, None for what is no word."""
+
+    def __missing__(self, w: str) -> tuple[int, ...] | None:
+        got = _OF.get(w.lower(), ()) if w[0].isalpha() else None
+        if len(self) < MEMO:
+            self[w] = got
+        return got
+
+
+class _Sorts(dict):
+    """Class of a token in one language: an index of ``CLASSES``, 7 for what does not count, 8 for what weighs by its length."""
+
+    def __init__(self, lang: str):
+        super().__init__()
+        self.articles, self.functions = _ART.get(lang, frozenset()), _FUN.get(lang, frozenset())
+
+    def __missing__(self, t: str) -> int:
+        c = t[0]
+        if c.isalpha():
+            low = t.lower()
+            got = 8 if len(t) > 24 else 1 if low in self.functions else 0 if low in self.articles else 3 if c.isupper() and not t.isupper() else 2
+        elif c.isdigit():
+            got = 4
+        else:
+            got = 7 if t in _PLAIN_MARKS else 5 if len(t) <= 2 else 8
+        if len(self) < MEMO:
+            self[t] = got
+        return got
+
+
+_PLAIN_MARKS = frozenset([".", ",", "(", ")", "?", "!", "'", "’", "-", "—", "–", '"', "¿", "¡", "«", "»"])
+_words = _Words()
+_sorts: dict[str, _Sorts] = {lang: _Sorts(lang) for lang in ("", *_ALL)}
+
+
+def tongue_of(seen: Counter[str]) -> tuple[str, float]:
+    """The language most of whose function words are among counted tokens, and their share of the words; ``("", 0)`` if hardly any is."""
+    hits, kinds, total = [0] * len(_LANGS), [0] * len(_LANGS), 0
+    of = _words
+    for t, n in seen.items():
+        langs = of[t]
+        if langs is not None:
+            total += n
+            for i in langs:
+                hits[i] += n
+                kinds[i] += 1
+    # Of equally many words, more different ones speak for a language.
+    best = max(range(len(_LANGS)), key=lambda i: (hits[i] * (1 + 0.02 * kinds[i]), -i))
+    share = hits[best] / max(1, total)
+    return (_LANGS[best], share) if share > 0.04 else ("", 0.0)
+
+
 def tongue(text: str) -> tuple[str, float]:
-    """The language most of whose function words stand in a text, and their share of the words; ``("", 0)`` if hardly any does."""
-    kana = len(_KANA.findall(text))
-    if kana > 0.12 * len(text):
+    """``tongue_of`` a text; Japanese by its kana."""
+    if not text.isascii() and (kana := len(_KANA.findall(text))) > 0.12 * len(text):
         return "ja", kana / len(text)
-    seen = Counter(_LETTERS.findall(text.lower()))
-    total = sum(seen.values()) or 1
-    best, most, share = "", 0.0, 0.0
-    for lang, own in _ALL.items():
-        there = own & seen.keys()
-        n = sum(map(seen.__getitem__, there))
-        # Of equally many words, more different ones speak for a language.
-        if n * (1 + 0.02 * len(there)) > most:
-            best, most, share = lang, n * (1 + 0.02 * len(there)), n / total
-    return (best, share) if share > 0.04 else ("", 0.0)
-
-
-def shares(line: str, lang: str) -> tuple[float, ...]:
-    """The distribution of a line's words on ``CLASSES``."""
-    n = [0.0] * 7
+    return tongue_of(Counter(_LETTERS.findall(text)))
+
+
+def counts(line: str, lang: str, tokens: list[str] | None = None) -> list[float]:
+    """How often a line's words fall on each of ``CLASSES``."""
+    n = [0.0] * 9
     if lang == "ja":
         for t in _KANA_TOKEN.findall(line):
             c = t[0]
@@ -118,52 +188,35 @@ def shares(line: str, lang: str) -> tuple[float, ...]:
                 n[3 if c.isupper() else 2] += 1
             elif t not in "、。":
                 n[5] += 1
-    else:
-        art, fun = _ART.get(lang, frozenset()), _FUN.get(lang, frozenset())
-        for t in _TOKEN.findall(line):
-            c = t[0]
-            if c.isalpha():
-                if len(t) > 24:
+        return n[:7]
+    tokens = _tokens(line) if tokens is None else tokens
+    sort = _sorts[lang]
+    for c in map(sort.__getitem__, tokens):
+        n[c] += 1
+    if n[8]:
+        for t in tokens:
+            if sort[t] == 8:
+                if t[0].isalpha():
                     n[6] += len(t) / 6
-                    continue
-                low = t.lower()
-                if low in fun:
-                    n[1] += 1
-                elif low in art:
-                    n[0] += 1
-                elif c.isupper() and not t.isupper():
-                    n[3] += 1
                 else:
-                    n[2] += 1
-            elif c.isdigit():
-                n[4] += 1
-            elif t not in (".", ",", "(", ")", "?", "!", "'", "’", "-", "—", "–", '"', "¿", "¡", "«", "»"):
-                n[5] += len(t) if len(t) > 2 else 1
-        # A chunk without blanks that mixes everything is one string, however it falls apart.
-        for chunk in line.split():
-            if len(chunk) > 30:
-                n[6] += len(chunk) / 6
-    total = sum(n)
-    return tuple(x / total for x in n) if total else (0, 0, 0, 0, 0, 1.0, 0)
-
-
-@lru_cache(maxsize=100_000)
-def nearest(p: tuple[float, ...]) -> str:
-    return min(PROFILES, key=lambda name: divergence(p, PROFILES[name]))
+                    n[5] += len(t)
+    # A chunk without blanks that mixes everything is one string, however it falls apart.
+    for chunk in _OVERSIZED.findall(line):
+        n[6] += len(chunk) / 6
+    return n[:7]
 
 
 def readable(own: list[str], strength: float) -> list[str]:
     """Lines whose letters carry a language poorly, read with the charset under which they carry one better, if there is one."""
     for _ in range(2):  # text can be misread twice
-        sample = "\n".join(sorted(own, key=len)[-3:])
+        whole = "\n".join(own)
         best = None
         for wrong, right in _MISREAD:
-            try:
-                made = sample.encode(wrong, "ignore").decode(right, "ignore")
-            except UnicodeError:
+            made = whole.encode(wrong, "ignore").decode(right, "ignore")
+            if len(made) <= 0.3 * len(whole):
                 continue
             found = tongue(made)[1]
-            if len(made) > 0.3 * len(sample) and found > max(0.12, 1.15 * strength):
+            if found > max(0.12, 1.15 * strength):
                 best, strength = (wrong, right), found
         if best is None:
             break
@@ -172,75 +225,180 @@ def readable(own: list[str], strength: float) -> list[str]:
 
 
 def core(lines: list[str], keep: list[int]) -> list[str]:
-    """Lines of a main body without headline, byline, dates and credits."""
-    own = [_BLANKS.sub(" ", lines[i].strip()) for i in keep[1:]]
-    own = [x for x in own if not _HEADLINE.search(x) and not is_credit(x)]
+    """Lines of a main body without headline, byline, dates (both as ``pages.Weights.keep`` has them) and credits."""
+    own = [lines[i] for i in keep[1:] if i >= 0]
+    own = [" ".join(x.split()) for x in own if not is_credit(x)]
     return [html.unescape(x) if "&" in x else x for x in own]
 
 
-def shape(own: list[str]) -> tuple[str, float]:
-    """``(kind, share of characters in prose lines)``: kind prose, list, table or junk; prose for a body of nothing."""
+Structure = tuple[str, list[tuple[list[float], int, int]]]
+
+
+def structure(own: list[str]) -> Structure:
+    """The language of a body, and of each line the counts on ``CLASSES``, its length, and what decides beside them.
+
+    The last is 1 for a line that ends as a sentence, 2 for one too short for prose, 4 for a paragraph that was decoded wrongly.
+    """
     text = "\n".join(own)
-    if not text.strip():
-        return "prose", 0.0
-    lang, strength = tongue(text)
-    if strength < 0.2 and not text.isascii():
-        odd = sum(c > "\x7f" for c in text)
+    if not text or text.isspace():
+        return "", []
+    plain = text.isascii()
+    if not plain and (kana := len(_KANA.findall(text))) > 0.12 * len(text):
+        lang, strength, tokens = "ja", kana / len(text), [None] * len(own)
+    else:
+        tokens = [_tokens(x) for x in own]
+        lang, strength = tongue_of(Counter(chain.from_iterable(tokens)))
+    whole = False
+    if strength < 0.2 and not plain:
+        odd = len(text) - len(text.encode("ascii", "ignore"))
         if odd > 0.02 * len(text):
             fixed = readable(own, strength)
             if fixed is not own:
                 own = fixed
-                lang, strength = tongue("\n".join(own))
-            elif strength < 0.1 and odd > 0.15 * len(text) and sum(map(len, own)) > 60 * len(own) and sum(c.isdigit() for c in text) < 0.1 * len(text):
-                return "prose", 1.0  # unreadable, but in paragraphs
-    kinds: Counter[str] = Counter()
-    for line in own:
-        kind = nearest(tuple(round(20 * x) / 20 for x in shares(line, lang))).split("-")[0]
-        if kind == "prose" and (len(line) < 12 if lang == "ja" else len(_LETTERS.findall(line)) < 4):
-            kind = "list"
-        if kind != "prose" and len(line) > 60 and not line.isascii() and len(_GARBLE.findall(line)) > 0.12 * len(line):
-            kind = "prose"  # a paragraph that was decoded wrongly
-        kinds[kind] += len(line)
-    total = sum(kinds.values()) or 1
-    share = kinds["prose"] / total
-    if share >= PROSE_SHARE:
-        return "prose", share
-    del kinds["prose"]
-    return (kinds.most_common(1)[0][0] if kinds else "prose"), share
-
-
-def not_prose_ids(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """``key``: distinct ids of texts whose main body is a list, a table or junk. Null, empty texts and ids give none."""
+                lang = tongue("\n".join(own))[0]
+                tokens = [None] * len(own)
+            else:
+                # Unreadable, but in paragraphs.
+                whole = strength < 0.1 and odd > 0.15 * len(text) and sum(map(len, own)) > 60 * len(own) and sum(c.isdigit() for c in text) < 0.1 * len(text)
+    out = []
+    for line, have in zip(own, tokens, strict=True):
+        n = counts(line, lang, have)
+        flags = 1 if _END.search(line) else 0
+        if len(line) < 12 if lang == "ja" else sum(n[:4]) < 4:
+            flags |= 2
+        if whole or len(line) > 60 and not line.isascii() and len(_GARBLE.findall(line)) > 0.12 * len(line):
+            flags |= 4
+        out.append((n, len(line), flags))
+    return lang, out
+
+
+class Profiles:
+    """Structural profiles, prose ones as measured."""
+
+    def __init__(self, measured: dict[str, list[float]] | None = None):
+        self.all = dict(SHAPES)
+        for name, expected in EXPECTED.items():
+            n = [EXPECTED_WORDS * x for x in expected]
+            for i, x in enumerate((measured or {}).get(name.partition("-")[2], ())):
+                n[i] += x
+            self.all[name] = tuple(x / sum(n) for x in n)
+        self.known: dict[tuple[float, ...], str] = {}
+
+    def nearest(self, p: tuple[float, ...]) -> str:
+        got = self.known.get(p)
+        if got is None:
+            got = min(self.all, key=lambda name: divergence(p, self.all[name]))
+            if len(self.known) < MEMO:
+                self.known[p] = got
+        return got
+
+    def shape(self, found: Structure) -> tuple[str, float]:
+        """``(kind, share of characters in prose lines)``: kind prose, list, table or junk; prose for a body of nothing."""
+        kinds: Counter[str] = Counter()
+        for n, size, flags in found[1]:
+            total = sum(n)
+            kind = self.nearest(tuple(round(20 * x / total) / 20 for x in n)).partition("-")[0] if total else "table"
+            if kind == "prose" and flags & 2:
+                kind = "list"
+            if kind != "prose" and flags & 4:
+                kind = "prose"
+            kinds[kind] += size
+        total = sum(kinds.values())
+        if not total:
+            return "prose", 0.0
+        share = kinds["prose"] / total
+        if share >= PROSE_SHARE:
+            return "prose", share
+        del kinds["prose"]
+        return kinds.most_common(1)[0][0], share
+
+
+def packed(found: Structure) -> list[str]:
+    """A structure as strings, so that a row of ``residue.fragments`` can carry it."""
+    lang, lines = found
+    return [lang, *(" ".join([*(f"{x:g}" for x in n), str(size), str(flags)]) for n, size, flags in lines)]
+
+
+def unpacked(words: list[str]) -> Structure:
+    out = []
+    for x in words[1:]:
+        *n, size, flags = x.split(" ")
+        out.append(([float(y) for y in n], int(size), int(flags)))
+    return words[0], out
+
+
+def structures(df: DataFrame, model: pages.Model, key: str = "id", text: str = "text") -> DataFrame:
+    """Fragments of ``residue`` with the ``packed`` structure of each body in the rows ``ADDED``: one pass for both."""
+    return residue.fragments(df, model, key, text, lambda k, lines, keep: packed(structure(core(lines, keep))))
+
+
+def measured(found: DataFrame, words: str = "words") -> Profiles:
+    """Profiles with the prose of each language as all sentence-like lines of the corpus have it; what reaches the driver is a row a language."""
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for k, t in rows:
-            if k is None or not t:
-                continue
-            if shape(core(*body_lines(t)))[0] != "prose":
-                yield (k,)
+        sums: dict[str, list[float]] = {}
+        for (packed_lines,) in rows:
+            lang, lines = unpacked(packed_lines)
+            for n, _, flags in lines:
+                if lang and flags == 1 and sum(n) >= PROSE_WORDS:
+                    own = sums.setdefault(lang, [0.0] * len(CLASSES))
+                    for i, x in enumerate(n):
+                        own[i] += x
+        yield from ((lang, i, x) for lang, own in sums.items() for i, x in enumerate(own))
+
+    rows = map_rows(found.select(words), [words], "lang string, i int, n double", run).groupBy("lang", "i").agg(F.sum("n").alias("n")).collect()
+    sums: dict[str, list[float]] = {}
+    for lang, i, n in rows:
+        sums.setdefault(lang, [0.0] * len(CLASSES))[i] = n
+    return Profiles(sums)
 
-    return map_rows(spread(df.select(key, text)), [key, text], f"`{key}` string", run).distinct()
 
+def kinds_of(found: DataFrame, key: str = "id", words: str = "words") -> DataFrame:
+    """``key, kind, prose_share, language`` of each row with a packed structure."""
+    profiles = found.sparkSession.sparkContext.broadcast(measured(found, words).all)
+
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        own = Profiles()
+        own.all = profiles.value
+        for k, w in rows:
+            made = unpacked(w)
+            yield k, *own.shape(made), made[0]
 
-def statistics(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    return map_rows(found.select(key, words), [key, words], f"`{key}` string, kind string, prose_share double, language string", run)
+
+
+def not_prose_ids(df: DataFrame, key: str = "id", text: str = "text", model: pages.Model | None = None) -> DataFrame:
+    """``key``: distinct ids of texts whose main body is a list, a table or junk, and no residue (``residue.ids_of``).
+
+    Null and empty texts and null ids give none. Texts are read twice: for the line-block weights, and for bodies.
+    """
+    model = model or pages.fit(df, key, text)
+    found = durable(structures(df, model, key, text))
+    odd = kinds_of(found.where(F.col("sort") == residue.ADDED)).where("kind <> 'prose'").select("id").distinct()
+    return odd.join(residue.ids_of(found), "id", "left_anti").withColumnRenamed("id", key)
+
+
+def statistics(df: DataFrame, key: str = "id", text: str = "text", model: pages.Model | None = None) -> DataFrame:
     """One row of statistics for each input row (null text: null statistics; empty text: zeros).
 
     ``words, mean_word, symbol_ratio, digit_ratio, lines, ending_lines`` (share of
     non-blank lines that end in punctuation), ``common_words`` (share of function
-    words of the nearest language), ``language, kind, prose_share`` of the main body. Row-local.
+    words of the nearest language), ``language, kind, prose_share`` of the main body. Row-local after the profiles are measured.
     """
+    model = model or pages.fit(df, key, text)
+    weights = model.weights
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for k, t in rows:
+        memo: dict[str, pages.Line] = {}
+        for k, t, rare in rows:
             if t is None:
-                yield (k,) + (None,) * 10
+                yield (k,) + (None,) * 8 + ([""],)
                 continue
             seen = _LETTERS.findall(t)
             lines = [x for x in t.split("\n") if x.strip()]
             lang = tongue(t)[0]
             size = max(1, len(t))
             common = _ALL.get(lang, frozenset())
-            kind, share = shape(core(*body_lines(t))) if t else ("", 0.0)
             yield (
                 k,
                 len(seen),
@@ -251,9 +409,18 @@ def statistics(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
                 sum(bool(_END.search(x)) for x in lines) / len(lines) if lines else 0.0,
                 sum(w.lower() in common for w in seen) / len(seen) if seen else 0.0,
                 lang,
-                kind,
-                share,
+                packed(structure(core(*pages.body_lines(t, weights.value, rare, memo)))),
             )
 
-    schema = f"`{key}` string, words int, mean_word double, symbol_ratio double, digit_ratio double, lines int, ending_lines double, common_words double, language string, kind string, prose_share double"
-    return map_rows(spread(df.select(key, text)), [key, text], schema, run)
+    plain = "words int, mean_word double, symbol_ratio double, digit_ratio double, lines int, ending_lines double, common_words double, language string"
+    each = durable(map_rows(spread(pages.with_rare(df, model, key, text)), [key, text, "rare"], f"`{key}` string, {plain}, _packed array<string>", run))
+    names = [x.split()[0] for x in plain.split(", ")]
+    profiles = each.sparkSession.sparkContext.broadcast(measured(each, "_packed").all)
+
+    def last(rows: Iterator[tuple]) -> Iterator[tuple]:
+        own = Profiles()
+        own.all = profiles.value
+        for *row, made in rows:
+            yield *row, *((None, None) if row[1] is None else own.shape(unpacked(made)))
+
+    return map_rows(each, [key, *names, "_packed"], f"`{key}` string, {plain}, kind string, prose_share double", last)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import charset, packing, pages, quality, residue, sitelines, subjects, tokens, toxicity
-from .common import table
+from .common import durable, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +28,9 @@ def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "texts")
-    return pages.outside(texts).join(residue.residue_ids(texts), "id", "left_anti")
+    lines = durable(pages.described(texts))
+    model = pages.learn(lines)
+    return pages.outside(texts, pages=lines, model=model).join(residue.residue_ids(texts, model=model), "id", "left_anti")
 
 
 def p3_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,8 +54,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = table(spark, sf_dir, "texts")
-    return quality.not_prose_ids(texts).join(residue.residue_ids(texts), "id", "left_anti")
+    return quality.not_prose_ids(table(spark, sf_dir, "texts"))
 
 
 def p5_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,76 +1,61 @@
 """Problem 1: template residue, filler and error pages, by aligning same-template records.
 
-Fragments of main bodies that look left over (placeholders, filler, error and
-script wordings, or all of a body of a few sentences) are aligned with
-fragments of the same shape in other records. Positions whose words differ
-from record to record are slots, the rest is template. A fragment is residue
-if a slot retains a variable name, a default or nothing, or if it is an error or
-filler wording of its own; a template that fills whole bodies with machine
-identifiers in its slots is an error page even if its wording is unknown. A sentence
-that reports on such things (a person is named, or the token is introduced
-as a tag or variable) is real content.
+All sentences of all main bodies are aligned by their shape (how many words, and the
+first two or the last two of them, of up to three words one; names and identifiers are holes). Two
+things are counted of each shape over the corpus: how many records have it, and
+what share of their page's content it makes up on average. A shape that makes up a good part
+of most pages on which it stands is a *whole-page template*: what a site
+delivers instead of content. The records of such shapes are aligned word by word; positions without a
+majority word are slots, the others the template. A page with such a fragment is residue.
+
+In all other sentences, whatever stands in the syntax of an unfilled variable (also
+a blank one) is a slot's filler that was never replaced, and so is a sentence of the
+usual filler text. The words around such a slot are aligned over the corpus as well: if the
+same words stand around it in many records, always with a variable between them, then
+the sentence is a fixed one that speaks about variables, and is real content.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import pages
 from .common import durable, map_rows, spread
-from .pages import body_lines
 
-#: Records that must share a whole-body template, and the share of one word that makes a position fixed.
+#: Records that must share a shape to be a template, and the share of their pages' content it must make up on average.
 SUPPORT = 5
+COVER = 0.25
+#: Share of its own page's content from which a fragment can be a whole-page message.
+OWN = 0.1
+#: Share of one word that makes a position fixed, and the share of positions that must be fixed.
 FIXED_SHARE = 0.5
-#: Sentences of a body without head lines that may be one whole-page message.
-WHOLE = 3
-#: Words of a fragment that are aligned (the decision on a fragment reads all of it).
-ALIGNED = 24
-
-# Placeholder syntaxes.
-PLACEHOLDER = re.compile(r"\{\{[^{}\n]{0,80}\}\}|\{%[^{}\n]{0,80}%\}|[$#]\{[^{}\n]{1,80}\}|%%[A-Za-z][\w. ]{0,60}%%|\[\[[A-Za-z][\w. ]{0,60}\]\]|__[A-Za-z][A-Za-z0-9._]{0,60}?__|\{[A-Z][A-Z0-9_]{2,60}\}|\[INSERT [^\[\]\n]{1,80}\]|\[[Ii]nsert [^\[\]\n]{1,80}\]|<%=?[^%\n]{0,80}%>|\*\|[A-Z_]{2,40}\|\*")
-# Words that introduce a placeholder as a thing spoken about.
-SPOKEN_BEFORE = re.compile(r"(?i)\b(?:tags?|variables?|macros?|placeholders?|syntax|tokens?|expressions?|strings?|whether|literally|commands?|written as|etiqueta|variable|balise|znacznik|тег|переменная)\W*(?:\w+\W+)?$")
-SPOKEN_AFTER = re.compile(r"(?i)^\W*(?:prints?|shows?|means|stands for|was never set|is replaced|was the whole|in the (?:shell )?script|in a template)\b")
+FIXED_PLACES = 0.4
+#: Records in which the same words must stand around a variable to be a sentence about variables, and how many words each side.
+SPOKEN = 8
+AROUND = 4
+
+# Syntaxes of unfilled variables, by which a slot's filler is known.
+PLACEHOLDER = re.compile(r"\{\{[^{}\n]*\}\}|\{%[^{}\n]*%\}|[$#]\{[^{}\n]*\}|%%[A-Za-z][\w. ]*%%|\[\[[A-Za-z][\w. ]*\]\]|__[A-Za-z](?:[A-Za-z0-9.]|_(?!_))*__|\{[A-Z][A-Z0-9_]+\}|\[(?:INSERT|[Ii]nsert) [^\[\]\n]+\]|<%=?[^%\n]*%>|\*\|[A-Z_]+\|\*")
+_HOLDS = re.compile(r"[{%\[_*]")
 # Words of the usual filler text.
 FILLER = frozenset("lorem ipsum dolor sit amet consectetur consec tetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco ullam laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split())
-# Wordings of filler, error, block and script messages.
-MESSAGE = re.compile(
-    r"(?i)replace it with your own words|this is a sample page|add your text (?:for|here)|your (?:headline|text|title)\b.{0,40}\bgoes here|click edit to change|dummy entry|deleted before launch|^\W*todo:|insert a short description"
-    r"|javascript|(?:enable|activate|allow) (?:java)?scripts?\b|active scripting|scripts? (?:is|are)? ?(?:turned off|disabled|switched off)|blocker stops our scripts|does not support .{1,40} widgets|switch it on and reload"
-    r"|something went wrong|please try again later|^\W*try again later|fatal error\b|call to undefined|^\W*warning: \w+(?:\(\))?|^\W*traceback\b|keyerror|stack trace:|error establishing|did not answer in time|bad gateway|gateway time-?out|service (?:is )?temporarily unavailable|internal server error|^\W*(?:error )?(?:40[0134]|50[0-4])\b.{0,3}(?:forbidden|not found|error|bad|service|gateway|unauthori[sz]ed)|access (?:is )?denied|unusual traffic|verify (?:that )?you are (?:a )?human|checking (?:if|whether) the connection|complete the check below|no such (?:file|socket)|permission to (?:open|access)|does not exist on this server|can.{1,6}t find the page|page (?:\S+ )?(?:was |could )?not (?:be )?found|has expired or has been removed|administrator has been told"
-    r"|no encontrada|debe activar|ya no existe|est introuvable|veuillez activer|leider nicht gefunden|aktivieren sie javascript|n.{1,4}o encontrada|ative o javascript|nie znaleziono strony|w.{1,4}.{1,4}cz javascript|не найдена|включите javascript|見つかりません|javascript.{0,3}を?有効"
-)
-_PATHLINE = re.compile(r"(?:^|\s)/[\w-]+/[\w-]+")
-_NAMED = re.compile(r"\b[A-Z][a-z]{2,} [A-Z][a-z]{3,}\b")
-# Capitalised pairs that name no person.
-_NOT_NAMES = re.compile(r"\b(?:Die|Der|Das|Den|Eine?|La|Le|Les|Une?|El|Los|Las|The|This|These|Our|Your|An?) (?=[A-Z])|\b(?:Internal Server|Server Error|Bad Gateway|Not Found|Access Denied|Bitte (?:Java)?|Gateway Timeout|Service Unavailable|Fatal Error)\b")
 _SENTENCE = re.compile(r"(?<=[.!?。])\s+|(?<=。)")
-_WORD = re.compile(r"\S+")
 _LATIN = re.compile(r"[a-z]+")
-#: Cheap test that a body may hold any of the above; one of these is in each of them.
-_CUES = ("{", "%%", "[[", "[insert", "__", "*|", "<%", "ipsum", "lorem", "velit", "nostrud", "todo:", "javascript", "scripts", "scripting", "sample page", "your text", "own words", "goes here", "click edit", "dummy entry", "before launch", "went wrong", "again later", "fatal error", "undefined", "warning:", "traceback", "keyerror", "stack trace", "establishing", "answer in time", "gateway", "unavailable", "server error", "404", "403", "400", "401", "500", "502", "503", "504", "denied", "unusual traffic", "are human", "a human", "the connection", "check below", "no such", "permission to", "not exist", "find the page", "not found", "not be found", "been removed", "administrator has", "widgets", "reload", "encontrada", "debe activar", "ya no existe", "introuvable", "activer", "gefunden", "znaleziono", "не найдена", "включите", "見つかりません", "有効", " /")
+_INNER = re.compile(r"\w[/:_\-.()\\=@#|]\w|[\d/\\_=@#|{}<>\[\]]")
+_EDGES = ".,;:!?()\"'“”«»—–-…。、"
+#: Distinct words a worker remembers.
+MEMO = 200_000
+_hash = xxhash.xxh64_intdigest
 
-
-def _cued(text: str) -> bool:
-    low = text.lower()
-    return any(map(low.__contains__, _CUES))
-
-
-# Head lines of a page (byline and dates).
-_HEADLINE = re.compile(r"(?i)^\W*(?:by the |from our own|posted by|written by|published:|last updated|first posted|von der redaktion|por la redacci|da reda|par la r|redakcja|редакция|publicado|actualizado|atualizado|publi. le|mis . jour|ver.{1,4}ffentlicht|zuletzt|aktualizacja|обновлено|更新日)|編集部\W*$|\| \d+ (?:views|replies)")
-
-
-def placeholders(sentence: str) -> bool:
-    """Whether a placeholder stands where a value should (not one that is spoken about)."""
-    for m in PLACEHOLDER.finditer(sentence):
-        if not SPOKEN_BEFORE.search(sentence[max(0, m.start() - 40) : m.start()]) and not SPOKEN_AFTER.match(sentence[m.end() : m.end() + 40]):
-            return True
-    return False
+ROWS = "id string, sort int, a long, b long, words array<string>, n long, cover double"
+#: Sorts of rows: residue by itself, a variable within a sentence, a fragment that may be a whole page, counts of a shape, and what a caller adds.
+OF_ITSELF, VARIABLE, FRAGMENT, SHAPE, ADDED = range(5)
 
 
 def filler(sentence: str) -> bool:
@@ -78,88 +63,133 @@ def filler(sentence: str) -> bool:
     return len(words) >= 5 and sum(w in FILLER for w in words) >= 0.6 * len(words)
 
 
-def names_someone(sentence: str) -> bool:
-    return bool(_NAMED.search(_NOT_NAMES.sub(" ", sentence)))
+def _key(shape: tuple) -> int:
+    return _hash(" ".join(map(str, shape))) >> 1
+
+
+class Shapes:
+    """Shapes of sentences and their counts, as far as one partition has them."""
+
+    def __init__(self) -> None:
+        self.counts: dict[tuple, list] = {}
+        self.words: dict[str, str] = {}
+
+    def word(self, w: str) -> str:
+        """A word without its edges; ``#`` for an identifier or number, ``N`` for a capitalised word."""
+        got = self.words.get(w)
+        if got is None:
+            bare = w.strip(_EDGES)
+            got = "#" if _INNER.search(w) else "N" if bare[:1].isupper() else bare
+            if len(self.words) < MEMO:
+                self.words[w] = got
+        return got
+
+    def keys(self, words: list[str]) -> tuple[tuple, tuple]:
+        n, of = len(words), self.words
+        first, last = words[0].lower(), words[-1]
+        first, last = of.get(first) or self.word(first), of.get(last) or self.word(last)
+        if n <= 3:
+            return (n, ">", first), (n, "<", last)
+        second, before = words[1], words[-2]
+        return (n, ">", first, of.get(second) or self.word(second)), (n, "<", of.get(before) or self.word(before), last)
+
+    def rows(self) -> Iterator[tuple]:
+        yield from ((None, SHAPE, _key(a), None, None, n, c) for a, (n, c) in self.counts.items())
+        self.counts.clear()
+
+    def of_body(self, k: str, lines: list[str], keep: list[int]) -> Iterator[tuple]:
+        """The rows of one main body; ``keep`` as of ``pages.Weights.keep``."""
+        own = [(lines[pages.number(i)].strip(), i < 0) for i in keep]
+        own = [(html.unescape(x), head) if "&" in x else (x, head) for x, head in own]
+        content = sum(len(x) for x, head in own[1:] if not head)
+        counts, is_filler = self.counts, FILLER.__contains__
+        for i, (line, head) in enumerate(own):
+            holds = _HOLDS.search(line) and PLACEHOLDER.search(line)
+            for s in _SENTENCE.split(line):
+                words = s.split()
+                if not words:
+                    continue
+                if holds:
+                    for m in PLACEHOLDER.finditer(s):
+                        before, after = s[: m.start()].split(), s[m.end() :].split()
+                        if len(before) + len(after) < AROUND:
+                            yield k, OF_ITSELF, None, None, None, None, None
+                        else:
+                            around = " ".join([*map(self.word, before[-AROUND:]), "_", *map(self.word, after[:AROUND])])
+                            yield k, VARIABLE, _hash(around) >> 1, None, None, None, None
+                if sum(map(is_filler, words)) > 1 and filler(s):
+                    yield k, OF_ITSELF, None, None, None, None, None
+                if i:
+                    cover = len(s) / (content + (len(s) if head else 0))
+                    a, b = self.keys(words)
+                    for x in (a, b):
+                        got = counts.get(x)
+                        if got is None:
+                            counts[x] = [1, cover]
+                        else:
+                            got[0] += 1
+                            got[1] += cover
+                    if cover >= OWN:
+                        yield k, FRAGMENT, _key(a), _key(b), words, None, cover
+
+
+Added = Callable[[str, list[str], list[int]], tuple | None]
+
+
+def fragments(df: DataFrame, model: pages.Model, key: str = "id", text: str = "text", added: Added | None = None) -> DataFrame:
+    """Rows of ``ROWS`` of all main bodies; of ``added(key, lines, keep)`` the result goes into ``words`` of a row ``ADDED``."""
+    weights = model.weights
 
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        memo: dict[str, pages.Line] = {}
+        shapes = Shapes()
+        for k, t, rare in rows:
+            if k is None or not t:
+                continue
+            lines, keep = pages.body_lines(t, weights.value, rare, memo)
+            yield from shapes.of_body(k, lines, keep)
+            if added is not None and (got := added(k, lines, keep)) is not None:
+                yield k, ADDED, None, None, got, None, None
+            if len(shapes.counts) > MEMO:
+                yield from shapes.rows()
+        yield from shapes.rows()
 
-def message(sentence: str) -> bool:
-    """Whether a sentence is an error, block, script or filler message of its own."""
-    if not MESSAGE.search(sentence) and not (len(sentence) < 90 and _PATHLINE.search(sentence) and len(sentence.split()) <= 8):
-        return False
-    return not names_someone(sentence)
+    return map_rows(spread(pages.with_rare(df, model, key, text)), [key, text, "rare"], ROWS, run)
 
 
-def fragments(lines: list[str], keep: list[int]) -> list[tuple[str, bool, bool]]:
-    """``(fragment, residue by itself, part of a whole-page message)`` of a body."""
-    own = [lines[i].strip() for i in keep]
-    core = [x for x in own[1:] if not _HEADLINE.search(x)]
-    short = sum(len(x.encode()) for x in core) <= 110 * WHOLE
-    if not short and not _cued("\n".join(own)):
-        return []
-    out = []
-    for i, line in enumerate(own):
-        if "&" in line:
-            line = html.unescape(line)
-        whole = short and i > 0 and line in core
-        if not whole and not _cued(line):
-            continue
-        for s in _SENTENCE.split(line):
-            if s:
-                residue = placeholders(s) or filler(s) or (i > 0 and message(s))
-                if residue or whole:
-                    out.append((s, residue, whole))
-    return out if not short or len(out) <= 3 * WHOLE else [x for x in out if x[1]]
+def templates(found: DataFrame) -> DataFrame:
+    """``shape, support, places, slots, cover``: whole-page templates, with the slots that aligning their records induces.
 
+    Records of a shape are aligned by position; a position in which no word holds ``FIXED_SHARE`` of
+    the records is a slot. Counted with partial aggregation, so a shape of very many records is no hot task.
+    """
+    shapes = found.where(F.col("sort") == SHAPE).groupBy(F.col("a").alias("shape")).agg(F.sum("n").alias("support"), (F.sum("cover") / F.sum("n")).alias("cover"))
+    shapes = shapes.where((F.col("support") >= SUPPORT) & (F.col("cover") >= COVER))
+    each = _of_shapes(found).join(shapes, "shape")
+    words = each.select("shape", "support", "cover", F.posexplode("words").alias("at", "word")).groupBy("shape", "support", "cover", "at", "word").agg(F.count(F.lit(1)).alias("n"))
+    place = words.groupBy("shape", "support", "cover", "at").agg((F.max("n") >= FIXED_SHARE * F.sum("n")).alias("fixed"))
+    return place.groupBy("shape", "support", "cover").agg(F.count(F.lit(1)).alias("places"), F.count_if(~F.col("fixed")).alias("slots")).where(F.col("places") - F.col("slots") >= FIXED_PLACES * F.col("places"))
 
-def candidates(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """``key, shape, words, residue, whole`` of the fragments to align. Row-local."""
 
-    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for k, t in rows:
-            if k is None or not t:
-                continue
-            for s, residue, whole in fragments(*body_lines(t)):
-                words = _WORD.findall(s)
-                first = words[0] if words[0].isalpha() else re.sub(r"\w+", "w", words[0])
-                yield k, f"{len(words)} {first} {words[-1] if words[-1].isalpha() else re.sub(r'\w+', 'w', words[-1])}", words[:ALIGNED], residue, whole
+def _of_shapes(found: DataFrame) -> DataFrame:
+    return found.where(F.col("sort") == FRAGMENT).select("id", F.explode(F.array("a", "b")).alias("shape"), "words")
 
-    return map_rows(spread(df.select(key, text)), [key, text], f"`{key}` string, shape string, words array<string>, residue boolean, whole boolean", run)
 
+def ids_of(found: DataFrame, key: str = "id") -> DataFrame:
+    """``key``: distinct ids of the texts with residue, from a checkpoint of ``fragments``."""
+    own = found.where(F.col("sort") == OF_ITSELF).select("id")
+    whole = _of_shapes(found).join(templates(found).select("shape"), "shape", "left_semi").select("id")
+    variables = found.where(F.col("sort") == VARIABLE).select("id", "a")
+    spoken = variables.distinct().groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SPOKEN)
+    left = variables.join(spoken, "a", "left_anti").select("id")
+    return own.unionByName(whole).unionByName(left).distinct().withColumnRenamed("id", key)
 
-def templates(found: DataFrame, key: str = "id") -> DataFrame:
-    """``shape, support, slots, machine``: slots induced by aligning the fragments of one shape.
 
-    ``slots``: positions in which no word holds half of the records;
-    ``machine``: whether some slot is filled by lower-case identifiers, mostly another in each record.
-    """
-    each = found.select(key, "shape", F.posexplode("words").alias("at", "word"))
-    counted = each.groupBy("shape", "at", "word").agg(F.count(F.lit(1)).alias("n"))
-    plain = F.col("word").rlike(r"^[\x21-\x7e]+$") & ~F.col("word").rlike("^[^A-Za-z]*[A-Z]")
-    place = counted.groupBy("shape", "at").agg(
-        F.sum("n").alias("all"),
-        F.max("n").alias("most"),
-        F.count(F.lit(1)).alias("kinds"),
-        F.sum(F.when(plain, F.col("n")).otherwise(0)).alias("lower"),
-    )
-    slot = F.col("most") < FIXED_SHARE * F.col("all")
-    machine = slot & (F.col("kinds") > 0.7 * F.col("all")) & (F.col("lower") > 0.9 * F.col("all"))
-    return place.groupBy("shape").agg(
-        F.max("all").alias("support"),
-        F.sum(slot.cast("int")).alias("slots"),
-        F.max(machine).alias("machine"),
-    )
-
-
-def residue_ids(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+def residue_ids(df: DataFrame, key: str = "id", text: str = "text", model: pages.Model | None = None) -> DataFrame:
     """``key``: distinct ids of texts whose main body holds residue.
 
-    Null and empty texts, null ids and an empty table give no row; copies count once.
-    Only fragments are shuffled, never texts; a shape shared by many records is
-    counted with partial aggregation, so a hot one is no hot task.
+    Null and empty texts, null ids and an empty table give no row; copies of a row give one.
+    Only hashes of shapes and fragments that make up a tenth of a page are shuffled, never texts.
     """
-    found = durable(candidates(df, key, text))  # read three times below
-    own = found.where("residue").select(key)
-    whole = found.where("whole AND NOT residue").select(key, "shape", "words")
-    shapes = templates(whole, key).where((F.col("support") >= SUPPORT) & F.col("machine") & (F.col("slots") <= 3)).select("shape")
-    pages = whole.join(shapes, "shape", "left_semi").select(key)
-    return own.unionByName(pages).distinct()
+    model = model or pages.fit(df, key, text)
+    return ids_of(durable(fragments(df, model, key, text)), key)

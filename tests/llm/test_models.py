@@ -99,7 +99,7 @@ PROSE = {
 
 
 def kind(body):
-    return quality.shape(body)[0]
+    return quality.Profiles().shape(quality.structure(body))[0]
 
 
 def test_structural_profiles():
@@ -120,10 +120,25 @@ def test_structural_profiles():
 
 
 def test_divergence():
-    p, q = quality.PROFILES["prose-en"], quality.PROFILES["junk-log"]
+    profiles = quality.Profiles().all
+    p, q = profiles["prose-en"], profiles["junk-log"]
     assert quality.divergence(p, p) == 0 and abs(quality.divergence(p, q) - quality.divergence(q, p)) < 1e-12
     assert 0 < quality.divergence(p, q) <= 1
-    assert all(abs(sum(x) - 1) < 0.011 for x in quality.PROFILES.values())
+    assert all(abs(sum(x) - 1) < 0.011 for x in profiles.values())
+
+
+def test_prose_profiles_are_measured(spark):
+    rows = [(f"t{i}", f"H\n{PROSE['en']}\n{PROSE['en']}") for i in range(40)] + [("n", None), ("e", "")]
+    df = spark.createDataFrame(rows, "id string, text string")
+    found = quality.durable(quality.structures(df, quality.pages.fit(df)))
+    got = quality.measured(found.where(f"sort = {quality.residue.ADDED}"))
+    line = quality.counts(PROSE["en"], "en")
+    n = 40 * 2
+    want = [quality.EXPECTED_WORDS * x + n * y for x, y in zip(quality.EXPECTED["prose-en"], line, strict=True)]
+    assert all(abs(x / sum(want) - y) < 1e-9 for x, y in zip(want, got.all["prose-en"], strict=True))
+    assert got.all["prose-de"] == quality.Profiles().all["prose-de"]
+    made = quality.structure([PROSE["en"], "a | b | 12", "x" * 40])
+    assert quality.unpacked(quality.packed(made))[0] == made[0] and quality.unpacked(quality.packed(made))[1][0] == made[1][0]
 
 
 def test_statistics(spark):
