@@ -56,14 +56,15 @@ AGAINST = 0.2
 #: Lines below the headline that may be byline and dates.
 HEADS = 4
 #: From this length on a line is compared as it stands, without masking names and numbers.
-LONG = 160
+LONG = 128
 #: Distinct lines a worker remembers.
 MEMO = 200_000
 
 _TAG = re.compile(r"<[^>]*>")
 _DIGITS = re.compile(r"\d+")
 _LEAD = re.compile(r"([^\W\d_][^:：.!?0-9]{0,24}?) ?[:：] *(\S.*)", re.S)
-_EAST = re.compile(r"[぀-ヿ㐀-鿿]+")
+_UPPER = "A-ZÀ-ÖØ-ÞА-ЯЁĆČŁŃŚŠŹŻŽ"
+_NAMES = re.compile(rf"(?<= )[{_UPPER}][^ ぀-ヿ㐀-鿿]*(?: [{_UPPER}][^ ぀-ヿ㐀-鿿]*)*")
 _ENDS = " \t\r\n»«.!:;·|→>"
 _hash = xxhash.xxh64_intdigest
 
@@ -91,15 +92,7 @@ def masked(line: str) -> str:
     """A line's wording: numbers and capitalised words (but the first) are holes, ends and case do not count."""
     if "&" in line:
         line = html.unescape(line)
-    out: list[str] = []
-    for t in line.strip(_ENDS).split():
-        if out and t[0].isupper():
-            east = "" if t.isascii() else "".join(_EAST.findall(t))
-            if east or out[-1] != "N":
-                out.append("N" + east)
-        else:
-            out.append(t)
-    made = " ".join(out).lower()
+    made = _NAMES.sub("N", " ".join(line.strip(_ENDS).split())).lower()
     return _DIGITS.sub("0", made) if _DIGITS.search(made) else made
 
 

@@ -174,7 +174,7 @@ def tongue(text: str) -> tuple[str, float]:
 
 def counts(line: str, lang: str, tokens: list[str] | None = None) -> list[float]:
     """How often a line's words fall on each of ``CLASSES``."""
-    n = [0.0] * 9
+    n: list[float] = [0] * 9
     if lang == "ja":
         for t in _KANA_TOKEN.findall(line):
             c = t[0]
@@ -313,18 +313,19 @@ class Profiles:
         return kinds.most_common(1)[0][0], share
 
 
-def packed(found: Structure) -> list[str]:
-    """A structure as strings, so that a row of ``residue.fragments`` can carry it."""
+def packed(found: Structure) -> str:
+    """A structure as one string, so that a row of ``residue.fragments`` can carry it."""
     lang, lines = found
-    return [lang, *(" ".join([*(f"{x:g}" for x in n), str(size), str(flags)]) for n, size, flags in lines)]
+    return ";".join([lang, *(",".join(map(repr, [*n, size, flags])) for n, size, flags in lines)])
 
 
-def unpacked(words: list[str]) -> Structure:
+def unpacked(text: str) -> Structure:
+    lang, *lines = text.split(";")
     out = []
-    for x in words[1:]:
-        *n, size, flags = x.split(" ")
-        out.append(([float(y) for y in n], int(size), int(flags)))
-    return words[0], out
+    for x in lines:
+        *n, size, flags = map(float, x.split(","))
+        out.append((n, int(size), int(flags)))
+    return lang, out
 
 
 def structures(df: DataFrame, model: pages.Model, key: str = "id", text: str = "text") -> DataFrame:
@@ -392,7 +393,7 @@ def statistics(df: DataFrame, key: str = "id", text: str = "text", model: pages.
         memo: dict[str, pages.Line] = {}
         for k, t, rare in rows:
             if t is None:
-                yield (k,) + (None,) * 8 + ([""],)
+                yield (k,) + (None,) * 8 + ("",)
                 continue
             seen = _LETTERS.findall(t)
             lines = [x for x in t.split("\n") if x.strip()]
@@ -413,7 +414,7 @@ def statistics(df: DataFrame, key: str = "id", text: str = "text", model: pages.
             )
 
     plain = "words int, mean_word double, symbol_ratio double, digit_ratio double, lines int, ending_lines double, common_words double, language string"
-    each = durable(map_rows(spread(pages.with_rare(df, model, key, text)), [key, text, "rare"], f"`{key}` string, {plain}, _packed array<string>", run))
+    each = durable(map_rows(spread(pages.with_rare(df, model, key, text)), [key, text, "rare"], f"`{key}` string, {plain}, _packed string", run))
     names = [x.split()[0] for x in plain.split(", ")]
     profiles = each.sparkSession.sparkContext.broadcast(measured(each, "_packed").all)
 

@@ -53,7 +53,7 @@ _EDGES = ".,;:!?()\"'“”«»—–-…。、"
 MEMO = 200_000
 _hash = xxhash.xxh64_intdigest
 
-ROWS = "id string, sort int, a long, b long, words array<string>, n long, cover double"
+ROWS = "id string, sort int, a long, b long, words string, n long, cover double"
 #: Sorts of rows: residue by itself, a variable within a sentence, a fragment that may be a whole page, counts of a shape, and what a caller adds.
 OF_ITSELF, VARIABLE, FRAGMENT, SHAPE, ADDED = range(5)
 
@@ -130,10 +130,10 @@ class Shapes:
                             got[0] += 1
                             got[1] += cover
                     if cover >= OWN:
-                        yield k, FRAGMENT, _key(a), _key(b), words, None, cover
+                        yield k, FRAGMENT, _key(a), _key(b), " ".join(words), None, cover
 
 
-Added = Callable[[str, list[str], list[int]], tuple | None]
+Added = Callable[[str, list[str], list[int]], str | None]
 
 
 def fragments(df: DataFrame, model: pages.Model, key: str = "id", text: str = "text", added: Added | None = None) -> DataFrame:
@@ -172,7 +172,7 @@ def templates(found: DataFrame) -> DataFrame:
 
 
 def _of_shapes(found: DataFrame) -> DataFrame:
-    return found.where(F.col("sort") == FRAGMENT).select("id", F.explode(F.array("a", "b")).alias("shape"), "words")
+    return found.where(F.col("sort") == FRAGMENT).select("id", F.explode(F.array("a", "b")).alias("shape"), F.split("words", " ").alias("words"))
 
 
 def ids_of(found: DataFrame, key: str = "id") -> DataFrame:
