@@ -3,9 +3,11 @@
 Two interpolated Kneser-Ney trigram models over words, one of toxic and one of
 ordinary passages, share their lowest-order counts. A passage's score is the
 mean over its words of the difference of both log-likelihoods, a text's score that
-of its worst passage. Labels are by text, so the toxic passages of a toxic
+of its worst passage; every passage of every text with a word in it is scored. Labels are by text, so the toxic passages of a toxic
 text are found by iteration: first the sentences least likely under the
 ordinary model, then those that the two models tell apart.
+
+Words are numbers and counts sorted arrays, so many texts are scored at once.
 """
 
 from __future__ import annotations
@@ -13,9 +15,11 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,12 +36,18 @@ THRESHOLD = 1.0
 ROUNDS = 2
 #: Words that a passage counts as having at least; missing ones speak for nothing.
 LEAST_WORDS = 3
-#: Trigrams, bigrams and short sentences whose results a worker remembers.
+#: Score of a text without a word.
+NOTHING = -9.0
+#: Distinct words a worker remembers, and texts it scores at once.
 MEMO = 200_000
-MEMO_CHARS = 100
+AT_ONCE = 128
 
-_SPLIT = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n")
 _TOKEN = re.compile(r"[぀-ヿ㐀-鿿]|[^\W\d_]+(?:[’'][^\W\d_]+)?\**[^\W\d_]*|\d+")
+#: Words of text that hides none and has no unspaced script, and line breaks.
+_OPEN = re.compile(r"[^\W\d_]+(?:[’'][^\W\d_]+)?|\d+|\n")
+_OPEN_ASCII = re.compile(r"[a-z]+(?:'[a-z]+)?|[0-9]+|\n", re.A)
+_EAST_ANY = re.compile(r"[぀-ヿ㐀-鿿]")
+_EAST_WORDS = re.compile(r"[぀-ヿ㐀-鿿]+|[^\W\d_぀-ヿ㐀-鿿]+|\d+")
 _EAST_RUN = re.compile(r"[぀-ヿ㐀-鿿]{2,}")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .]){2,}[^\W_](?![^\W_])")
 _INVISIBLE = re.compile("[​‌‍⁠﻿­]")
@@ -50,24 +60,33 @@ _WORD = re.compile(r"[^\W\d_]+")
 _LOOKS = str.maketrans("аеорсухкмтвніјѕАЕОРСУХКМТВНІЈЅ", "aeopcyxkmtbhijsAEOPCYXKMTBHIJS")
 _DIGITS = str.maketrans("4310$@57", "aeiosast")
 _LETTER_DIGIT = re.compile(r"[A-Za-z][0-9$@]+[A-Za-z]|[0-9$@][A-Za-z]{1,3}[0-9$@]").search
+_DIGIT_LETTER = re.compile(r"[0-9$@][A-Za-z]").search
 _BOTH_SCRIPTS = re.compile(r"[a-z][а-я]|[а-я][a-z]", re.I).search
 _TRIPLE = re.compile(r"([a-zA-Zà-ÿа-я])\1\1").search
 _LONE = re.compile(r"(?<![^\W_])[^\W_][ .][^\W_][ .][^\W_](?![^\W_])").search
 
 
+#: Of each ASCII code, whether it is a letter or digit; anything else counts as one.
+_ALNUM = np.array([chr(c).isalnum() for c in range(128)] + [True])
+
+
 def hides(text: str) -> bool:
-    """Whether some word may be spelt so as to hide it; separate simple searches are faster than one of many branches."""
-    return bool(
-        "*" in text
-        or "\u200b" in text
-        or _INVISIBLE.search(text)
-        or _LETTER_DIGIT(text)
-        or "$" in text
-        or "@" in text
-        or _TRIPLE(text)
-        or _LONE(text)
-        or (_CYR.search(text) and _BOTH_SCRIPTS(text))
-    )
+    """Whether some word may be spelt so as to hide it; each search runs only where a quicker one finds its necessary signs."""
+    if "*" in text or _DIGIT_LETTER(text) and _LETTER_DIGIT(text):
+        return True
+    if not text.isascii() and (_INVISIBLE.search(text) or _CYR.search(text) and _BOTH_SCRIPTS(text)):
+        return True
+    a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    if len(a) < 5:
+        return bool(_TRIPLE(text))
+    same = a[1:] == a[:-1]
+    if (same[1:] & same[:-1] & (a[2:] > 64)).any() and _TRIPLE(text):
+        return True
+    letter = np.zeros(len(a) + 2, bool)
+    letter[1:-1] = _ALNUM[np.minimum(a, 128)]
+    lone = letter[1:-1] & ~letter[:-2] & ~letter[2:]
+    between = (a == 32) | (a == 46)
+    return bool((lone[:-4] & between[1:-3] & lone[2:-2] & between[3:-1] & lone[4:]).any()) and bool(_LONE(text))
 
 
 def _unleet(m: re.Match) -> str:
@@ -82,8 +101,6 @@ def _unlook(m: re.Match) -> str:
 
 def clear(sentence: str) -> str:
     """A sentence in lower case with hidden spellings undone (masked letters stay as ``*``)."""
-    if "&" in sentence:
-        sentence = html.unescape(sentence)
     if hides(sentence):
         sentence = _INVISIBLE.sub("", sentence)
         sentence = _WORD.sub(_unlook, sentence)
@@ -93,219 +110,387 @@ def clear(sentence: str) -> str:
     return sentence.lower()
 
 
-def words(sentence: str) -> list[str]:
-    """Words, or pairs of characters of an unspaced script."""
-    low = clear(sentence)
+def words(sentence: str, hidden: bool = True) -> list[str]:
+    """Words, or pairs of characters of an unspaced script; ``hidden``: whether some may be spelt so as to hide them."""
+    low = clear(sentence) if hidden else sentence.lower()
     if _EAST_RUN.search(low):
         out = []
-        for w in re.findall(r"[぀-ヿ㐀-鿿]+|[^\W\d_぀-ヿ㐀-鿿]+|\d+", low):
-            out += [w[i : i + 2] for i in range(max(1, len(w) - 1))] if _EAST_RUN.match(w) else [w]
+        for w in _EAST_WORDS.findall(low):
+            out += [w[i : i + 2] for i in range(max(1, len(w) - 1))] if _EAST_RUN.match(w) else ["0" if w[0].isdigit() else w]
         return out
     return ["0" if w[0].isdigit() else w for w in _TOKEN.findall(low)]
 
 
-def sentences(text: str) -> list[str]:
-    return [s for s in _SPLIT.split(text) if s and len(s) > 9]
+def pieces(text: str) -> str:
+    """A text with each sentence on a line of its own."""
+    if "&" in text:
+        text = html.unescape(text)
+    text = text.replace(". ", ".\n").replace("! ", "!\n").replace("? ", "?\n")
+    return text if text.isascii() else text.replace("。", "。\n").replace("！", "！\n").replace("？", "？\n")
 
 
-def open_words(sentence: str) -> list[str]:
-    """``words`` of a sentence that hides nothing and holds no unspaced script."""
-    return ["0" if w[0].isdigit() else w for w in _TOKEN.findall(sentence.lower())]
+def flat(text: str) -> list[str]:
+    """The words of a text in order, with a line break after each sentence."""
+    text = pieces(text)
+    hidden = hides(text)
+    if not hidden and text.isascii():
+        out = _OPEN_ASCII.findall(text.lower())
+    elif not hidden and not _EAST_ANY.search(text):
+        out = _OPEN.findall(text.lower())
+    else:
+        out = []
+        for s in text.split("\n"):
+            if s and not s.isspace():
+                out += words(s, hidden)
+                out.append("\n")
+    out.append("\n")
+    return out
+
+
+class _Numbers(dict):
+    """Number of each known word; all digits are one word, unknown words are ``RARE``. Written forms are remembered."""
+
+    def __missing__(self, w: str) -> int:
+        got = self.get("0", RARE) if w[0].isdigit() else RARE
+        if len(self) < self.most:
+            self[w] = got
+        return got
+
+    most = 0
+
+
+#: Numbers of: a word seen too little, the start and the end of a sentence; words have higher ones.
+RARE, START, END = range(3)
+
+
+class Table:
+    """Counts by key, looked up for many keys at once (open addressing)."""
+
+    EMPTY = -1
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        """``counts``: one row a key."""
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys = np.full(1 << bits, self.EMPTY, dtype=np.int64)
+        self.at = np.full(1 << bits, len(keys), dtype=np.int32)
+        #: A row of zeros for keys that are not there.
+        self.counts = np.vstack([counts, np.zeros((1, counts.shape[1]))])
+        left, place = np.arange(len(keys)), self._place(keys)
+        while len(left):
+            free = self.keys[place] == self.EMPTY
+            _, first = np.unique(place, return_index=True)
+            put = np.zeros(len(left), bool)
+            put[first] = True
+            put &= free
+            self.keys[place[put]] = keys[left[put]]
+            self.at[place[put]] = left[put]
+            left, place = left[~put], (place[~put] + 1) & self.last
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """Columns of counts of the keys."""
+        place = self._place(keys)
+        there = self.keys[place]
+        out = np.where(there == keys, self.at[place], len(self.counts) - 1)
+        left = np.flatnonzero((there != keys) & (there != self.EMPTY))
+        place = place[left]
+        while len(left):
+            place = (place + 1) & self.last
+            there = self.keys[place]
+            hit = there == keys[left]
+            out[left[hit]] = self.at[place[hit]]
+            more = ~hit & (there != self.EMPTY)
+            left, place = left[more], place[more]
+        return self.counts[out].T
+
+
+def _neighbours(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word before each word and the one before that, ``START`` beyond the start of its passage."""
+    n = len(ids)
+    first = np.concatenate([[True], ids[:-1] == END])[:n]
+    before = np.where(first, START, np.concatenate([[START], ids[:-1]])[:n])
+    second = np.concatenate([[True], first[:-1]])[:n] | first
+    return np.where(second, START, np.concatenate([[START, START], ids[:-2]])[:n]), before
 
 
 class KneserNey:
-    """Interpolated Kneser-Ney trigrams of one class upon lowest-order counts shared by the classes."""
-
-    def __init__(self, passages: list[list[str]], base: dict[str, float], unseen: float):
-        self.base, self.unseen = base, unseen
-        tri: Counter[tuple] = Counter()
-        for p in passages:
-            seq = ["<s>", "<s>", *p, "</s>"]
-            tri.update(zip(seq, seq[1:], seq[2:], strict=False))
-        self.tri = tri
-        self.tri_n: Counter[tuple] = Counter()
-        self.tri_kinds: Counter[tuple] = Counter()
-        self.bi: Counter[tuple] = Counter()  # continuation counts: distinct words before
-        for (a, b, c), n in tri.items():
-            self.tri_n[a, b] += n
-            self.tri_kinds[a, b] += 1
-            self.bi[b, c] += 1
-        self.bi_n: Counter[str] = Counter()
-        self.bi_kinds: Counter[str] = Counter()
-        self.uni: Counter[str] = Counter()
-        for (b, c), n in self.bi.items():
-            self.bi_n[b] += n
-            self.bi_kinds[b] += 1
-            self.uni[c] += 1
-        self.uni_n = max(1, sum(self.uni.values()))
-        self.uni_left = DISCOUNT * len(self.uni) / self.uni_n if self.uni else 1.0
-
-    def low(self, b: str, c: str) -> float:
-        """Bigram probability, which does not depend on the word before."""
-        u = self.uni.get(c, 0)
-        out = (u - DISCOUNT) / self.uni_n if u else 0.0
-        out += self.uni_left * self.base.get(c, self.unseen)
-        n = self.bi_n.get(b, 0)
-        if n:
-            out = max(self.bi.get((b, c), 0) - DISCOUNT, 0) / n + DISCOUNT * self.bi_kinds[b] / n * out
-        return out
+    """Interpolated Kneser-Ney trigrams of several classes upon lowest-order probabilities ``base`` that they share.
 
-    def p(self, a: str, b: str, c: str) -> float:
-        return self.upon((a, b, c), self.low(b, c))
+    Each class: the numbered words of all its passages, each passage ended by ``END``.
+    """
 
-    def upon(self, key: tuple, low: float) -> float:
-        """Trigram probability upon that of its last two words."""
-        n = self.tri_n.get(key[:2], 0)
-        return max(self.tri.get(key, 0) - DISCOUNT, 0) / n + DISCOUNT * self.tri_kinds[key[:2]] / n * low if n else low
+    def __init__(self, classes: list[np.ndarray], base: np.ndarray):
+        size = self.size = len(base)
+        many = len(classes)
+        tri, context, bi = [], [], []
+        self.low, self.last_count, self.last_kinds = (np.zeros((many, size)) for _ in range(3))
+        for k, ids in enumerate(classes):
+            early, before = _neighbours(ids)
+            key, n = np.unique((early * size + before) * size + ids, return_counts=True)
+            tri.append((key, n))
+            own, at, kinds = np.unique(key // size, return_inverse=True, return_counts=True)
+            context.append((own, np.bincount(at, weights=n, minlength=len(own)), kinds))
+            # Continuation counts: distinct words before.
+            pair, n = np.unique(key % (size * size), return_counts=True)
+            bi.append((pair, n))
+            self.last_kinds[k] = np.bincount(pair // size, minlength=size)
+            self.last_count[k] = np.bincount(pair // size, weights=n, minlength=size)
+            uni = np.bincount(pair % size, minlength=size).astype(float)
+            total = max(1.0, uni.sum())
+            self.low[k] = np.maximum(uni - DISCOUNT, 0) / total + (DISCOUNT * np.count_nonzero(uni) / total if uni.any() else 1.0) * base
+        self.tri, self.context, self.bi = (self._joint(x) for x in (tri, context, bi))
+
+    @staticmethod
+    def _joint(classes: list[tuple]) -> Table:
+        """One table of the keys of all classes, with the counts of each."""
+        keys = np.unique(np.concatenate([x[0] for x in classes]))
+        counts = np.zeros((len(keys), sum(len(x) - 1 for x in classes)))
+        column = 0
+        for key, *values in classes:
+            at = np.searchsorted(keys, key)
+            for v in values:
+                counts[at, column] = v
+                column += 1
+        return Table(keys, counts)
+
+    def p(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
+        """Probability in each class of each word ``c`` after ``a, b``."""
+        size = self.size
+        bi, context, tri = self.bi(b * size + c), self.context(a * size + b), self.tri((a * size + b) * size + c)
+        out = []
+        for k in range(len(self.low)):
+            p = self.low[k][c]
+            for have, n, kinds in ((bi[k], self.last_count[k][b], self.last_kinds[k][b]), (tri[k], context[2 * k], context[2 * k + 1])):
+                safe = np.maximum(n, 1)
+                p = np.where(n > 0, (np.maximum(have - DISCOUNT, 0) + DISCOUNT * kinds * p) / safe, p)
+            out.append(p)
+        return out
 
 
 class Scorer:
     """Both models, the words that speak for the toxic one, and the calibrated threshold.
 
-    ``lower``: words of toxic passages that are not capitalised there; of those even one
-    occurrence counts, while other words seen once (mostly names) are one word ``<rare>``.
+    ``toxic`` and ``plain``: numbered words of passages, each ended by ``END``; ``names``: the word of each number.
+    ``lower``: numbers of words of toxic passages that are not capitalised there; of those even one
+    occurrence counts, while other words seen once (mostly names) are one word ``RARE``.
     """
 
-    def __init__(self, toxic: list[list[str]], plain: list[list[str]], lower: set[str]):
-        counts: Counter[str] = Counter(w for p in toxic for w in p)
-        plain_counts: Counter[str] = Counter(w for p in plain for w in p)
+    def __init__(self, toxic: np.ndarray, plain: np.ndarray, names: list[str], lower: np.ndarray):
+        size = len(names)
+        counts, plain_counts = (np.bincount(x, minlength=size).astype(float) for x in (toxic, plain))
+        for x in (counts, plain_counts):
+            x[:3] = 0
         total = counts + plain_counts
-        keep = {w for w, n in total.items() if n > 1 or w in lower}
-        rare = lambda p: [w if w in keep else "<rare>" for w in p]
-        self.vocabulary = keep
-        kinds: Counter[str] = Counter()
-        for w, n in total.items():
-            kinds[w if w in keep else "<rare>"] += 1 + math.log(n)
-        size = sum(kinds.values()) + 1
-        base = {w: n / size for w, n in kinds.items()}
-        self.toxic = KneserNey([rare(p) for p in toxic], base, 1 / size)
-        self.plain = KneserNey([rare(p) for p in plain], base, 1 / size)
-        nt, np_ = max(1, sum(counts.values())), max(1, sum(plain_counts.values()))
-        ratio = {w: math.log(n / nt) - math.log((plain_counts[w] + 0.5) / np_) for w, n in counts.items() if w in keep and (n > 1 or w in lower)}
-        self.tells = {w: r for w, r in ratio.items() if r > math.log(4)}
-        self.masks: dict[tuple, str] = {}
-        for w in sorted(self.tells, key=lambda x: (counts[x], x)):
-            if len(w) > 2:
-                self.masks[w[0], len(w), w[-1]] = w
+        keep = (total > 1) | ((total > 0) & lower)
+        kinds = np.where(total > 0, 1 + np.log(np.maximum(total, 1)), 0.0)
+        base = np.where(keep, kinds, 0.0)
+        base[RARE] = kinds[~keep].sum()
+        whole = base.sum() + 1
+        base = base / whole
+        base[END] = base[START] = 1 / whole
+        if base[RARE] == 0:
+            base[RARE] = 1 / whole
+        number = np.where(keep, np.arange(size), RARE)
+        number[START], number[END] = START, END
+        self.models = KneserNey([number[toxic], number[plain]], base)
+        nt, np_ = max(1.0, counts.sum()), max(1.0, plain_counts.sum())
+        with np.errstate(divide="ignore"):
+            ratio = np.log(counts / nt) - np.log((plain_counts + 0.5) / np_)
+        self.tells = (counts > 0) & keep & ((counts > 1) | lower) & (ratio > math.log(4))
+        self.number = number
+        self.known = {names[i]: i for i in np.flatnonzero(keep).tolist()}
+        #: Word meant by the first letter, length and last letter of a masked one.
+        self.masks = {}
+        for i in sorted(np.flatnonzero(self.tells).tolist(), key=lambda i: (counts[i], names[i])):
+            if len(names[i]) > 2:
+                self.masks[names[i][0], len(names[i]), names[i][-1]] = names[i]
         self.threshold = THRESHOLD
-        self.gains: dict[tuple, float] = {}
-        self.lows: dict[tuple, tuple[float, float]] = {}
-        self.short: dict[str, float] = {}
+        self.numbers: _Numbers | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"gains": {}, "lows": {}, "short": {}}
-
-    def gain(self, key: tuple) -> float:
-        """Log-likelihood difference of a trigram's last word."""
-        lows = self.lows.get(key[1:])
-        if lows is None:
-            lows = self.toxic.low(*key[1:]), self.plain.low(*key[1:])
-            if len(self.lows) < MEMO:
-                self.lows[key[1:]] = lows
-        g = math.log(self.toxic.upon(key, lows[0]) / self.plain.upon(key, lows[1]))
+        return self.__dict__ | {"numbers": None}
+
+    def passages(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores of the passages of numbered words, each ended by ``END``: mean log-likelihood difference a word, of the
+        worst window within a long one. With the place of each passage's first word and its number of words."""
+        ends = np.flatnonzero(ids == END)
+        starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+        sizes = ends - starts
+        word = ids != END
+        early, before = _neighbours(ids)
+        gain = np.zeros(len(ids))
+        c = ids[word]
+        toxic, plain = self.models.p(early[word], before[word], c)
+        g = np.log(toxic / plain)
         # That a name stands somewhere speaks for nothing.
-        g = min(g, 0.0) if key[2] == "<rare>" else g
-        if len(self.gains) < MEMO:
-            self.gains[key] = g
-        return g
-
-    def passage(self, p: list[str]) -> float:
-        """Mean log-likelihood difference a word; of the worst window within a long sentence."""
-        vocabulary, known = self.vocabulary, self.gains
-        a, b, gain = "<s>", "<s>", []
-        for w in p:
-            if "*" in w:
-                w = self.masks.get((w[0], len(w), w[-1]), w)
-            c = w if w in vocabulary else "<rare>"
-            g = known.get((a, b, c))
-            gain.append(self.gain((a, b, c)) if g is None else g)
-            a, b = b, c
-        if len(gain) <= WINDOW + 4:
-            return sum(gain) / max(LEAST_WORDS, len(gain))
-        now = best = sum(gain[:WINDOW])
-        for i in range(WINDOW, len(gain)):
-            now += gain[i] - gain[i - WINDOW]
-            best = max(best, now)
-        return best / WINDOW
+        gain[word] = np.where(c == RARE, np.minimum(g, 0.0), g)
+        total = np.concatenate([[0.0], np.cumsum(gain)])
+        scores = (total[ends] - total[starts]) / np.maximum(LEAST_WORDS, sizes)
+        scores[sizes == 0] = NOTHING
+        long = np.flatnonzero(sizes > WINDOW + 4)
+        if len(long):
+            many = sizes[long] - WINDOW + 1
+            offset = np.concatenate([[0], np.cumsum(many)[:-1]])
+            at = np.repeat(starts[long] - offset, many) + np.arange(many.sum())
+            scores[long] = np.maximum.reduceat(total[at + WINDOW] - total[at], offset) / WINDOW
+        return scores, starts, sizes
+
+    def texts(self, texts: list[str]) -> list[float]:
+        """The worst passage's score of each text, over all passages with a word; ``NOTHING`` without any."""
+        if self.numbers is None:
+            self.numbers = _Numbers(self.known)
+            self.numbers["\n"] = END
+            self.numbers.most = len(self.known) + MEMO
+        numbers, masks = self.numbers, self.masks
+        ids: list[int] = []
+        first = []
+        for t in texts:
+            first.append(len(ids))
+            own = flat(t)
+            if "*" in t:
+                own = [masks.get((w[0], len(w), w[-1]), w) if "*" in w else w for w in own]
+            ids += map(numbers.__getitem__, own)
+        if not ids:
+            return []
+        scores, starts, _ = self.passages(np.array(ids, dtype=np.int64))
+        # Each text ends a passage, so no passage is of two texts.
+        return np.maximum.reduceat(scores, np.searchsorted(starts, first)).tolist()
 
     def text(self, text: str) -> float:
-        """The worst passage's score, over all passages with a word; -9 without any."""
-        worst = -9.0
-        hidden, east = hides(text), _EAST_RUN.search(text)
-        short = self.short
-        for s in _SPLIT.split(text):
-            if not s:
-                continue
-            got = short.get(s)
-            if got is None:
-                p = words(s) if "&" in s or (hidden and hides(s)) or (east and _EAST_RUN.search(s)) else open_words(s)
-                got = self.passage(p) if p else -9.0
-                if len(s) <= MEMO_CHARS and len(short) < MEMO:
-                    short[s] = got
-            if got > worst:
-                worst = got
-        return worst
-
-
-Cut = list[tuple[list[str], str]]  # words of each sentence, and the sentence
-
-
-def cut(text: str, shared: dict[str, str], keep: bool = True) -> Cut:
-    """Words of each sentence (one object a distinct word, as millions of them are held), and the sentence if ``keep``."""
-    return [([shared.setdefault(w, w) for w in words(s)], s if keep else "") for s in sentences(text)]
-
-
-def train(texts: list[tuple[Cut, int]]) -> Scorer:
-    """Both models from ``(text, toxic)``; the toxic passages are found by iteration."""
-    toxic_docs = [d for d, y in texts if y and d]
-    plain = [p for d, y in texts if not y for p, _ in d]
-    plain_words = Counter(w for p in plain for w in set(p))
-    n = max(1, len(plain))
+        return self.texts([text])[0]
+
+
+class Labelled:
+    """Judged texts as numbered words; sentences of toxic ones are kept as written."""
+
+    def __init__(self, texts: list[tuple[str, int]]):
+        self.verdicts = np.array([y for _, y in texts], dtype=bool)
+        number: dict[str, int] = {}
+        self.names = ["<rare>", "<s>", "</s>"]
+        ids: list[int] = []
+        of: list[int] = []
+        written: list[str] = []
+        for i, (t, y) in enumerate(texts):
+            for s in pieces(t).split("\n"):
+                own = words(s)
+                if not own:
+                    continue
+                for w in own:
+                    n = number.get(w)
+                    if n is None:
+                        n = number[w] = len(self.names)
+                        self.names.append(w)
+                    ids.append(n)
+                ids.append(END)
+                of.append(i)
+                written.append(s if y else "")
+        self.number = number
+        self.ids = np.array(ids, dtype=np.int64)
+        self.of, self.written = np.array(of, dtype=np.int64), written
+        ends = np.flatnonzero(self.ids == END)
+        self.starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+        self.sizes = ends - self.starts
+        self.sentence = np.repeat(np.arange(len(of)), self.sizes + 1)
+        word = self.ids != END
+        size = len(self.names)
+        #: Distinct words of each sentence.
+        self.pairs = np.unique(self.sentence[word] * size + self.ids[word])
+
+    def of_sentences(self, which: np.ndarray) -> np.ndarray:
+        """Numbered words of the sentences marked in ``which``."""
+        return self.ids[which[self.sentence]] if len(self.ids) else self.ids
+
+
+def train(data: Labelled, which: np.ndarray | None = None) -> Scorer:
+    """Both models from the judged texts ``which``; the toxic passages are found by iteration."""
+    size, many = len(data.names), len(data.of)
+    chosen = np.ones(len(data.verdicts), bool) if which is None else which
+    bad = chosen[data.of] & data.verdicts[data.of] if many else np.zeros(0, bool)
+    plain = chosen[data.of] & ~data.verdicts[data.of] if many else np.zeros(0, bool)
+    sentence, word = data.pairs // size, data.pairs % size
+    plain_words = np.bincount(word[plain[sentence]], minlength=size).astype(float)
+    n = max(1, int(plain.sum()))
     # A word's surprise under the ordinary texts, weighed by how many toxic texts share it.
-    shared = Counter(w for d in toxic_docs for w in {w for p, _ in d for w in p})
-
-    def odd(p: list[str]) -> float:
-        gains = [math.log((shared[w] + 0.1) / max(1, len(toxic_docs))) - math.log((plain_words[w] + 1) / n * 3) for w in p]
-        return sum(sorted(gains)[-6:]) / 6 if len(p) >= 4 else -9.0
-
-    def lower(picked: Cut) -> set[str]:
-        return {w for _, s in picked for w in _WORD.findall(clear(s)) if w in s} | {w for p, _ in picked for w in p if _EAST_RUN.match(w)}
+    docs = np.unique(data.of[sentence[bad[sentence]]] * size + word[bad[sentence]])
+    shared = np.bincount(docs % size, minlength=size).astype(float)
+    toxic_docs = max(1, len(np.unique(data.of[bad])))
+    gain = np.log((shared + 0.1) / toxic_docs) - np.log((plain_words + 1) / n * 3)
+
+    def odd(i: int) -> float:
+        g = gain[data.ids[data.starts[i] : data.starts[i] + data.sizes[i]]]
+        return float(np.sort(g)[-6:].sum() / min(6, max(LEAST_WORDS, len(g))))
+
+    def lower(picked: np.ndarray) -> np.ndarray:
+        out = np.zeros(size, bool)
+        for i in picked.tolist():
+            s = data.written[i]
+            for w in _WORD.findall(clear(s)):
+                if w in s and w in data.number:
+                    out[data.number[w]] = True
+            for w in data.ids[data.starts[i] : data.starts[i] + data.sizes[i]].tolist():
+                if _EAST_RUN.match(data.names[w]):
+                    out[w] = True
+        return out
 
-    def side(p: list[str], here: Counter[str]) -> float:
-        """Mean share of the toxic side among the sentences that hold each uncommon word; -1 if too few tell."""
-        shares = [here[w] / (here[w] + plain_words[w]) for w in set(p) if here[w] and plain_words[w] < 0.005 * n]
-        return sum(shares) / len(shares) if len(shares) >= 2 else -1.0
+    def sides(here: np.ndarray) -> np.ndarray:
+        """Mean share of the toxic side among the sentences that hold each uncommon word, for all sentences; -1 if too few tell."""
+        ok = (here > 0) & (plain_words < 0.005 * n)
+        share = here / np.maximum(here + plain_words, 1)
+        told = ok[word]
+        count = np.bincount(sentence[told], minlength=many)
+        total = np.bincount(sentence[told], weights=share[word[told]], minlength=many)
+        return np.where(count >= np.minimum(2, data.sizes), total / np.maximum(count, 1), -1.0)
+
+    def marked(picked: np.ndarray) -> np.ndarray:
+        out = np.zeros(many, bool)
+        out[picked] = True
+        return out
 
-    picked = [max(d, key=lambda x: odd(x[0])) for d in toxic_docs]
-    for _ in range(ROUNDS):
+    best: dict[int, tuple[float, int]] = {}
+    for i in np.flatnonzero(bad).tolist():
+        score = odd(i)
+        if score > best.get(int(data.of[i]), (-math.inf, 0))[0]:
+            best[int(data.of[i])] = score, i
+    picked = np.array(sorted(i for _, i in best.values()), dtype=np.int64)
+    for r in range(ROUNDS):
         # Verdicts err both ways: a wording that stands mostly on the other side is moved there.
-        here = Counter(w for p, _ in picked for w in set(p))
-        picked = [x for x in picked if side(x[0], here) >= 0.4]
-        clean = [p for p in plain if side(p, here) < 0.5]
-        scorer = Scorer([p for p, _ in picked], clean, lower(picked))
-        if _ == ROUNDS - 1:
+        here = np.bincount(word[marked(picked)[sentence]], minlength=size).astype(float)
+        side = sides(here)
+        picked = picked[side[picked] >= 0.4]
+        clean = plain & (side < 0.5)
+        scorer = Scorer(data.of_sentences(marked(picked)), data.of_sentences(clean), data.names, lower(picked))
+        if r == ROUNDS - 1:
             break
-        picked = []
-        for d in toxic_docs:
-            scored = [(scorer.passage(p), p, s) for p, s in d if not scorer.tells.keys().isdisjoint(p)]
-            over = [(p, s) for x, p, s in scored if x > 1.0]
-            if not over and scored and (best := max(scored, key=lambda x: x[0]))[0] > 0.5:
-                over = [best[1:]]
-            picked += over
+        scores = np.full(many, NOTHING)
+        telling = marked(np.unique(sentence[scorer.tells[word] & bad[sentence]]))
+        if telling.any():
+            scores[telling] = scorer.passages(scorer.number[data.of_sentences(telling)])[0]
+        over = telling & (scores > 1.0)
+        most: dict[int, int] = {}
+        for i in np.flatnonzero(telling).tolist():
+            doc = int(data.of[i])
+            if doc not in most or scores[i] > scores[most[doc]]:
+                most[doc] = i
+        picked = np.array(sorted({*np.flatnonzero(over).tolist(), *(i for i in most.values() if scores[i] > 0.5)}), dtype=np.int64)
     return scorer
 
 
 def fit_scorer(texts: list[tuple[str, int]]) -> Scorer:
     """Trained on all; the threshold is the best one on folds that the models had not seen."""
-    shared: dict[str, str] = {}
-    ready = [(cut(t, shared, bool(y)), y) for t, y in texts]
+    data = Labelled(texts)
     held: list[tuple[float, int]] = []
-    if sum(y for _, y in texts) >= 30:
-        for fold in range(2):
-            part = train([x for i, x in enumerate(ready) if i % 2 != fold])
-            held += [(part.text(t), y) for i, (t, y) in enumerate(texts) if i % 2 == fold]
-            del part  # one pair of models at a time
-    scorer = train(ready)
+    fold = np.arange(len(texts)) % 2
+    if data.verdicts.sum() >= 30:
+        for k in range(2):
+            part = train(data, fold != k)
+            own = [x for i, x in enumerate(texts) if i % 2 == k]
+            for at in range(0, len(own), AT_ONCE):
+                now = own[at : at + AT_ONCE]
+                held += zip(part.texts([t for t, _ in now]), [y for _, y in now], strict=True)
+    scorer = train(data)
     if held:
         scorer.threshold = best_threshold(held)
     return scorer
@@ -341,12 +526,11 @@ def scores(texts: DataFrame, model: Broadcast) -> DataFrame:
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         scorer = model.value
-        for k, t in rows:
-            if not t:
-                yield k, None, False
-            else:
-                s = scorer.text(t)
-                yield k, float(s), bool(s >= scorer.threshold)
+        while now := list(islice(rows, AT_ONCE)):
+            made = iter(scorer.texts([t for _, t in now if t]))
+            for k, t in now:
+                s = next(made) if t else None
+                yield k, s, s is not None and s >= scorer.threshold
 
     return map_rows(spread(texts.select("id", "text")), ["id", "text"], "id string, score double, toxic boolean", run)
 

@@ -1,5 +1,7 @@
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from millrace.llm import quality, subjects, toxicity
@@ -33,25 +35,90 @@ def test_held_out_accuracy_with_wrong_labels():
     assert scorer.text("") < scorer.threshold and scorer.text("A bitch and her 4 pups won the show, said Kim.") < scorer.threshold
 
 
+def numbered(passages, names):
+    return np.array([x for p in passages for x in [*(names.index(w) for w in p), toxicity.END]], dtype=np.int64)
+
+
 def test_every_passage_is_scored():
     toxic = [["you", "are", "a", "filthy", "idiot"], ["what", "an", "idiot"], ["idiot", "go", "away"]] * 3
     plain = [["the", "old", "lamp", "was", "lit", "every", "night"], ["you", "are", "a", "friend"], ["go", "home", "now"]] * 9
-    scorer = toxicity.Scorer(toxic, plain, set())
+    names = ["<rare>", "<s>", "</s>", *sorted({w for p in toxic + plain for w in p})]
+    scorer = toxicity.Scorer(numbered(toxic, names), numbered(plain, names), names, np.zeros(len(names), bool))
     # Ordinary texts and single short words have a real score, whatever their words say.
     assert scorer.text("The old lamp was lit every night") > -9.0
     assert scorer.text("The old lamp was lit.\nIdiot!") > scorer.text("The old lamp was lit.\nHome!") > -9.0
-    assert scorer.text("") == scorer.text(" ... ") == -9.0
-    assert scorer.text("You are a friend") == pytest.approx(scorer.passage(["you", "are", "a", "friend"]))
+    assert scorer.text("") == scorer.text(" ... ") == toxicity.NOTHING
+    assert scorer.text("You are a friend") == pytest.approx(scorer.passages(numbered([["you", "are", "a", "friend"]], names))[0][0])
+    texts = ["Go home now.", "What an idiot! Go home.", "", "You are a filthy idiot and the old lamp was lit every night and you are a friend and go home now and then go home."]
+    assert scorer.texts(texts) == pytest.approx([scorer.text(t) for t in texts])
+
+
+def test_short_abuse_in_spaced_and_unspaced_scripts():
+    bad = ["Shut up!", "You moron.", "死ねこのクズ野郎", "Drecksau!"]
+    rng = random.Random(4)
+    texts = []
+    for i in range(240):
+        own = [rng.choice(PLAIN).format(a=rng.choice(THINGS), n=rng.choice(NAMES), k=i) for _ in range(6)]
+        own.append("町長さんによると、計画はまだ時間がかかるという。")
+        if i % 4 == 0:
+            own.insert(rng.randint(0, 6), bad[i // 4 % 4])
+        texts.append(("\n".join(own), int(i % 4 == 0)))
+    scorer = toxicity.fit_scorer(texts)
+    for s in bad:
+        assert scorer.text(f"The lamp was lit.\n{s}\nGo home.") >= scorer.threshold > scorer.text("The lamp was lit.\nGo home."), s
+
+
+def test_hidden_spellings_are_seen_by_the_quick_test():
+    rng = random.Random(7)
+    for _ in range(3000):
+        text = "".join(rng.choice("ab. A0$@é я1\u200b*") for _ in range(rng.randint(0, 14)))
+        plain = "*" in text or toxicity._LETTER_DIGIT(text) or toxicity._TRIPLE(text) or toxicity._LONE(text) or toxicity._INVISIBLE.search(text) or (toxicity._CYR.search(text) and toxicity._BOTH_SCRIPTS(text))
+        assert toxicity.hides(text) == bool(plain), repr(text)
+
+
+def brute(passages, base, a, b, c):
+    """Interpolated Kneser-Ney as the formula has it, from lists."""
+    d = toxicity.DISCOUNT
+    tri = Counter()
+    for p in passages:
+        seq = ["<s>", "<s>", *p, "</s>"]
+        tri.update(zip(seq, seq[1:], seq[2:], strict=False))
+    bi = Counter((y, z) for _, y, z in tri)
+    uni = Counter(z for _, z in bi)
+    n = max(1, sum(uni.values()))
+    out = max(uni[c] - d, 0) / n + (d * len(uni) / n) * base[c]
+    if n2 := sum(v for k, v in bi.items() if k[0] == b):
+        out = max(bi[b, c] - d, 0) / n2 + d * sum(k[0] == b for k in bi) / n2 * out
+    if n3 := sum(v for k, v in tri.items() if k[:2] == (a, b)):
+        out = max(tri[a, b, c] - d, 0) / n3 + d * sum(k[:2] == (a, b) for k in tri) / n3 * out
+    return out
 
 
-def test_kneser_ney_is_a_distribution():
+def test_kneser_ney_against_brute_force():
     rng = random.Random(3)
-    words = "a b c d e".split()
-    passages = [[rng.choice(words) for _ in range(rng.randint(1, 6))] for _ in range(80)]
-    every = [*words, "</s>"]
-    lm = toxicity.KneserNey(passages, {w: 1 / 6 for w in every}, 0.0)
-    for a, b in [("<s>", "<s>"), ("a", "b"), ("x", "c"), ("x", "y")]:
-        assert abs(sum(lm.p(a, b, w) for w in every) - 1) < 1e-9
+    letters = "a b c d e".split()
+    classes = [[[rng.choice(letters) for _ in range(rng.randint(1, 6))] for _ in range(m)] for m in (80, 7)]
+    names = ["<rare>", "<s>", "</s>", *letters, "x"]
+    base = {w: 1 / 6 if w in (*letters, "</s>") else 0.0 for w in names}
+    lm = toxicity.KneserNey([numbered(p, names) for p in classes], np.array([base[w] for w in names]))
+    at = names.index
+    for a, b in [("<s>", "<s>"), ("<s>", "a"), ("a", "b"), ("x", "c"), ("x", "x")]:
+        every = [*letters, "</s>"]
+        got = lm.p(*(np.array([at(w)] * 6) for w in (a, b)), np.array([at(w) for w in every]))
+        for k, passages in enumerate(classes):
+            assert abs(got[k].sum() - 1) < 1e-9
+            assert got[k].tolist() == pytest.approx([brute(passages, base, a, b, c) for c in every])
+
+
+def test_tables_against_dictionaries():
+    rng = np.random.default_rng(5)
+    keys = np.unique(rng.integers(0, 10**6, 5000))
+    table = toxicity.Table(keys, keys[:, None] * [1.0, 2.0])
+    asked = rng.integers(0, 10**6, 20000)
+    known = set(keys.tolist())
+    one, two = table(asked)
+    assert one.tolist() == [x if x in known else 0 for x in asked.tolist()] and (two == 2 * one).all()
+    assert toxicity.Table(keys[:0], np.zeros((0, 1)))(asked[:3])[0].tolist() == [0, 0, 0]
 
 
 def test_scores_and_rates(spark):
