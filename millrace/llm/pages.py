@@ -24,7 +24,7 @@ import html
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import accumulate
 from typing import NamedTuple
@@ -48,7 +48,7 @@ ROUNDS = 3
 #: Times a wording must stand in the corpus to have a weight of its own.
 RECUR = 5
 #: Wordings sent to the workers; where more recur, the rarer ones are joined (``Model.rare``).
-TABLE = 1_000_000
+TABLE = 400_000
 #: Most that one line weighs.
 CLIP = 3.0
 #: Most that may speak against a lead of links, as a share of what speaks for it.
@@ -375,7 +375,7 @@ def _counts(sort: str, inside: dict[int, int], outside: dict[int, int]) -> pa.Re
     return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=["sort", "key", "inside", "outside"])
 
 
-def weights_of(counts: list[tuple]) -> Weights:
+def weights_of(counts: Iterable[tuple]) -> Weights:
     kinds, words, places, leads = {}, {}, Counter(), set()
     for sort, k, inside, outside in counts:
         if sort == "kind":
@@ -403,13 +403,13 @@ def learn(pages: DataFrame, table: int = TABLE) -> Model:
     often = durable(pages.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= RECUR))
     many = often.count() > table
     top = often.orderBy(F.desc("n"), "word").limit(table) if many else often
-    known = sc.broadcast(np.array(sorted(r[0] for r in top.select("word").collect()), dtype=np.int64))
+    known = sc.broadcast(np.sort(top.select("word").toArrow()["word"].to_numpy()))
     weights: Broadcast | None = None
     for _ in range(ROUNDS):
         # A lead needs title lines within bodies, and next to nothing that speaks against it; there are few such.
         lead = (F.col("sort") == "lead") & (F.col("inside") >= RECUR) & (F.col("outside") <= AGAINST * F.col("inside"))
-        counts = counted(pages, known, weights).where(lead | (F.col("sort") != "lead")).collect()
-        weights = sc.broadcast(weights_of([tuple(r) for r in counts]))
+        counts = counted(pages, known, weights).where(lead | (F.col("sort") != "lead")).toArrow()
+        weights = sc.broadcast(weights_of(zip(*(counts[c].to_pylist() for c in counts.column_names), strict=True)))
     return Model(weights, _rare(pages, often, top, weights) if many else None)
 
 

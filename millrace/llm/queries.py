@@ -61,14 +61,25 @@ def p5_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.statistics(table(spark, sf_dir, "texts"))
 
 
+def _not_counted(texts: DataFrame) -> DataFrame:
+    """Ids whose lines do not count in problem 6."""
+    return residue.residue_ids(texts).unionByName(charset.affected_ids(texts)).distinct()
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "texts")
-    excluded = residue.residue_ids(texts).unionByName(charset.affected_ids(texts)).distinct()
-    return sitelines.repeated_lines(texts, table(spark, sf_dir, "warc_records"), excluded)
+    return sitelines.repeated_lines(texts, table(spark, sf_dir, "warc_records"), _not_counted(texts))
+
+
+def p6_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of near-duplicate wordings: one row a wording with the cluster it is of."""
+    return sitelines.near_lines(sitelines.documents(table(spark, sf_dir, "texts"), table(spark, sf_dir, "warc_records")))
 
 
 def p6_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sitelines.without_lines(table(spark, sf_dir, "texts"), p6_found(spark, sf_dir))
+    """Each text without the lines of its host's near-duplicate clusters."""
+    texts = table(spark, sf_dir, "texts")
+    return sitelines.without_lines(texts, sitelines.repeated_lines(texts, table(spark, sf_dir, "warc_records"), exact=False))
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +97,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_bodies": p3_bodies, "p3_record_bodies": p3_record_bodies, "p4_found": p4_found, "p4_restored": p4_restored, "p4_record_texts": p4_record_texts, "p5_found": p5_found, "p5_statistics": p5_statistics, "p6_found": p6_found, "p6_texts": p6_texts, "p7_ids": p7_ids, "p8_packed": p8_packed, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_bodies": p3_bodies, "p3_record_bodies": p3_record_bodies, "p4_found": p4_found, "p4_restored": p4_restored, "p4_record_texts": p4_record_texts, "p5_found": p5_found, "p5_statistics": p5_statistics, "p6_found": p6_found, "p6_clusters": p6_clusters, "p6_texts": p6_texts, "p7_ids": p7_ids, "p8_packed": p8_packed, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
