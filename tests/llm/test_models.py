@@ -151,6 +151,10 @@ def test_subjects(spark):
     mine = {x for x in got if 140 <= x[0] < 900}
     assert len(mine & want) > 0.95 * len(want) and len(mine - want) < 0.05 * len(want)
     assert not {x for x in got if x[0] >= 900}
+    # A passing word makes no subject, a text full of them does.
+    areas = subjects.Areas(*subjects.fit(df, lab).value)
+    other = "Kim walked along the bank in the evening light and nobody was there. " * 200
+    assert areas.subjects(other + "Somebody had left a guitar there.") == [] and [s for s, _ in areas.subjects("A guitar, a violin and the choir. " * 9)] == ["music"]
     none = subjects.fit(df.limit(0), lab.limit(0))
     assert subjects.assign(df.limit(0), none).count() == 0
     assert subjects.composition(subjects.assign(df, none)).count() == 3
