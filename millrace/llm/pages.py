@@ -481,14 +481,15 @@ def bodies(df: DataFrame, key: str = "id", text: str = "text", key_type: str = "
     return map_rows(spread(with_rare(df, model, key, text)), [key, text, "rare"], f"`{key}` {key_type}, body string", run)
 
 
-def record_bodies(records: DataFrame, model: Broadcast | None = None) -> DataFrame:
+def record_bodies(records: DataFrame, model: charset.Model | None = None) -> DataFrame:
     """``path, ordinal, id, body`` of the response records of a crawl: header cut, bytes decoded, markup stripped, body kept.
 
     With a ``model`` of ``charset`` the charset of bytes that are no UTF-8 is chosen by the words they make.
     """
+    table = model.table if model else None
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        channel = charset._channel(model) if model else None
+        channel = charset._channel(table) if table else None
         for path, ordinal, i, content in rows:
             yield path, ordinal, i, None if content is None else strip_markup(charset.decode(content, channel))
 
