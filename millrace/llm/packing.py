@@ -118,3 +118,16 @@ def usage(placed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """One row: containers, tokens and share of space used."""
     each = placed.where(F.col("container").isNotNull()).groupBy("container").agg(F.sum("length").alias("n"))
     return each.agg(F.count(F.lit(1)).alias("containers"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.try_divide(F.sum("n"), F.count(F.lit(1)) * F.lit(float(capacity))).alias("used"))
+
+
+def violations(placed: DataFrame, sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity: int = CAPACITY) -> DataFrame:
+    """One row that counts what must not be: containers that hold more than ``capacity``, pieces that overlap within one,
+    items of other pieces than their size allows (or whose pieces are not their size); with the number of items placed. Keys must be unique."""
+    inside = placed.where(F.col("container").isNotNull())
+    whole = inside.groupBy("container").agg(F.sum("length").alias("n"), F.max(F.col("container_offset") + F.col("length")).alias("last"))
+    held = whole.agg(F.count_if(F.col("n") > capacity).alias("overfull"), F.count_if(F.col("n") != F.col("last")).alias("overlapping"))
+    items = placed.groupBy(key).agg(F.sum("length").alias("_placed"), F.count_if(F.col("container").isNotNull()).alias("_pieces"))
+    joined = sizes.join(items, key, "left")
+    wrong = (~F.col("_placed").eqNullSafe(F.col(size).cast("long"))) | (F.col("_pieces") != F.ceil(F.col(size) / capacity))
+    one = joined.agg(F.count_if(wrong).alias("split"), F.count(F.col("_placed")).alias("documents"))
+    return held.withColumn("_one", F.lit(1)).join(one.withColumn("_one", F.lit(1)), "_one").drop("_one")

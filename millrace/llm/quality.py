@@ -425,3 +425,17 @@ def statistics(df: DataFrame, key: str = "id", text: str = "text", model: pages.
             yield *row, *((None, None) if row[1] is None else own.shape(unpacked(made)))
 
     return map_rows(each, [key, *names, "_packed"], f"`{key}` string, {plain}, kind string, prose_share double", last)
+
+
+def basic_counts(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """``key, chars, words, digits, lines, ending`` of each row's whole text: characters, runs of letters, ASCII digits, lines
+    with a non-white character, lines that end in a full stop, exclamation or question mark. Built-in expressions alone; null gives nulls."""
+    c = F.col(text)
+    return df.select(
+        key,
+        F.char_length(c).cast("long").alias("chars"),
+        F.regexp_count(c, F.lit(r"\p{L}+")).cast("long").alias("words"),
+        F.char_length(F.regexp_replace(c, "[^0-9]", "")).cast("long").alias("digits"),
+        F.regexp_count(c, F.lit(r"[^ \t\r\n\f\x0B][^\n]*")).cast("long").alias("lines"),
+        F.regexp_count(c, F.lit(r"[.!?][ \t\r\f\x0B]*(?:\n|\z)")).cast("long").alias("ending"),
+    )

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import charset, packing, pages, quality, residue, sitelines, subjects, tokens, toxicity
-from .common import durable, table
+from pyspark.sql import functions as F
+
+from . import charset, packing, pages, quality, residue, sitelines, sql, subjects, tokens, toxicity
+from .common import durable, spread, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,9 +98,49 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.assign(docs, model).select("doc_id", "subject").distinct()
 
 
+def p2_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each text whether it has a score."""
+    texts = table(spark, sf_dir, "texts")
+    scored = toxicity.scores(texts, toxicity.fit(texts, table(spark, sf_dir, "labels")))
+    return scored.select("id", F.col("score").isNotNull().alias("scored"))
+
+
+def p3_accounted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines of each text are either in its main body or found outside."""
+    texts = table(spark, sf_dir, "texts")
+    lines = durable(pages.described(texts))
+    model = pages.learn(lines)
+    inside = pages.bodies(texts, model=model).where("id IS NOT NULL AND body <> ''").distinct().select("id", F.size(F.split("body", "\n")).alias("n"))
+    outside = pages.outside(texts, pages=lines, model=model).groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    return inside.unionByName(outside).groupBy("id").agg(F.sum("n").alias("lines"))
+
+
+def p4_untouched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of plain ASCII as restored."""
+    texts = table(spark, sf_dir, "texts")
+    plain = texts.where(F.col("text").rlike(r"\A[\x00-\x7f]*\z"))
+    return charset.restore(plain, model=charset.fit(texts)).select("id", F.md5("text").alias("digest"), "affected")
+
+
+def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.basic_counts(spread(table(spark, sf_dir, "texts")))
+
+
+def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the ids of each document spell."""
+    return tokens.decoded(tokens.encode(table(spark, sf_dir, "documents")))
+
+
+def p8_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must not be in the packing of all documents, counted."""
+    docs = table(spark, sf_dir, "documents")
+    return packing.violations(durable(packing.pack_documents(docs)), tokens.count(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_bodies": p3_bodies, "p3_record_bodies": p3_record_bodies, "p4_found": p4_found, "p4_restored": p4_restored, "p4_record_texts": p4_record_texts, "p5_found": p5_found, "p5_statistics": p5_statistics, "p6_found": p6_found, "p6_clusters": p6_clusters, "p6_texts": p6_texts, "p7_ids": p7_ids, "p8_packed": p8_packed, "p9_found": p9_found}
+    own = (p1_found, p2_found, p2_rates, p2_scored, p3_found, p3_bodies, p3_record_bodies, p3_accounted, p4_found, p4_restored, p4_record_texts, p4_untouched, p5_found, p5_statistics, p5_counts, p6_found, p6_clusters, p6_texts, p7_ids, p7_decoded, p8_packed, p8_violations, p9_found)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()

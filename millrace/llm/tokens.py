@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import islice
 
@@ -43,3 +44,15 @@ def count(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizers: st
             yield from zip(keys, own.count_batch(texts), strict=True)
 
     return map_rows(spread(df.select(key, text)), [key, text], f"`{key}` {key_type}, n_tokens int", run)
+
+
+def decoded(df: DataFrame, key: str = "doc_id", tokenizers: str = DEFAULT_DIR, key_type: str = "long") -> DataFrame:
+    """``key, digest``: of the bytes that the ids of :func:`encode` spell, their MD5."""
+    path = f"{tokenizers}/byte_bpe_50k.tiktoken"
+
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        spelt = encoder(path).bytes_of
+        for k, ids in rows:
+            yield k, hashlib.md5(b"".join(spelt[i] for i in ids)).hexdigest()
+
+    return map_rows(df, [key, "ids"], f"`{key}` {key_type}, digest string", run)
