@@ -7,15 +7,17 @@ parallelism of a session started here (0 or less: all cores); results never depe
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 import time
 
+from pyspark import StorageLevel
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .config import Pipeline
 from .operators import compare, extract, gopher, pipeline
-from .sinks import write_decisions, write_differences, write_jsonl
+from .sinks import write_decisions, write_differences, write_excluded, write_jsonl
 from .sources.text import one_document, read_bad_words, read_decisions, read_jsonl
 from .sources.warc import read_warc
 
@@ -39,6 +41,9 @@ def parser() -> argparse.ArgumentParser:
         if name == "pipeline":
             s.add_argument("--csv-output")
             s.add_argument("--bad-words")
+            s.add_argument("--kept-output")
+            s.add_argument("--excluded-output")
+            s.add_argument("--profile", action="store_true")
         if name == "extract":
             s.add_argument("--output")
     sub.add_parser("gopher-one")
@@ -49,19 +54,38 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def _report(summary: dict[str, int], seconds: float) -> str:
+    """A summary with the rates of the work that made it, as a JSON line."""
+    rate = lambda x: x / seconds if seconds > 0 else 0.0
+    return json.dumps({**summary, "elapsed_sec": seconds, "docs_sec": rate(summary["docs"]), "mib_sec": rate(summary["bytes"] / 1048576)})
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     spark = session(getattr(a, "threads", 0))
     began = time.time()
     if a.command == "pipeline":
-        texts = extract.extract_texts(extract.first_responses(read_warc(spark, a.input, response_only=True), a.limit))
+        records = extract.first_responses(read_warc(spark, a.input, response_only=True), a.limit)
+        texts = extract.extract_texts(records)
         cfg = Pipeline(bad_words=read_bad_words(spark, a.bad_words))
+        # One pass over the crawl: what is kept of a record are its decision and a size.
+        outcome = pipeline.outcomes(texts, cfg=cfg).persist(StorageLevel.DISK_ONLY)
         if a.csv_output:
-            write_decisions(pipeline.decisions(texts, cfg=cfg), a.csv_output, "overwrite")
-        for row in pipeline.report(pipeline.totals(texts, cfg=cfg), time.time() - began).toJSON().collect():
-            print(row)
-        for r in pipeline.drop_reasons(pipeline.decisions(texts, cfg=cfg)).orderBy("reason").collect():
-            print(f"{r['reason']}\t{r['n']}")
+            write_decisions(outcome, a.csv_output, "overwrite")
+        counts = sorted(pipeline.tally(outcome).collect())
+        docs, kept = sum(r["n"] for r in counts), sum(r["n"] for r in counts if r["reason"] == "")
+        print(_report({"docs": docs, "kept": kept, "dropped": docs - kept, "bytes": sum(r["bytes"] for r in counts)}, time.time() - began))
+        for r in counts:
+            if r["reason"]:
+                print(f"{r['reason']}\t{r['n']}")
+        outcome.unpersist()
+        if a.kept_output:
+            write_jsonl(pipeline.kept(texts, cfg=cfg).withColumnRenamed("record_id", "id"), a.kept_output, "overwrite")
+        if a.excluded_output:
+            write_excluded(pipeline.excluded(texts, cfg=cfg), a.excluded_output, "overwrite")
+        if a.profile:
+            for r in pipeline.profile(pipeline.timed_stages(records, cfg)).orderBy("stage").collect():
+                print(f"{r['stage']}\t{r['total_ms']:.1f}\t{r['calls']}\t{r['avg_ms']:.1f}")
     elif a.command == "extract":
         texts = extract.extract_texts(extract.first_responses(read_warc(spark, a.input, response_only=True), a.limit))
         if a.output:
@@ -71,8 +95,8 @@ def main(argv: list[str] | None = None) -> int:
                 print(line[0])
     elif a.command == "gopher":
         rows = read_jsonl(spark, a.input).withColumn("_at", F.monotonically_increasing_id())
-        for row in pipeline.report(pipeline.gopher_summary(pipeline.first_texts(rows, a.limit, ["_at"])), time.time() - began).toJSON().collect():
-            print(row)
+        summary = pipeline.gopher_summary(pipeline.first_texts(rows, a.limit, ["_at"])).first().asDict()
+        print(_report(summary, time.time() - began))
     elif a.command == "gopher-one":
         print(gopher.quality(one_document(spark, sys.stdin.read())).select(gopher.verdict(F.col("gopher_reason"))).first()[0])
     else:

@@ -65,6 +65,10 @@ def paragraph_reason(text: Column, cfg: C4Paragraph = C4Paragraph()) -> Column:
     )
 
 
+#: Entries of one regex; longer lists take several, tried in the list's order.
+ENTRIES_A_REGEX = 2_000
+
+
 def bad_word_reason(text: Column, words: list[str] | tuple[str, ...]) -> Column:
     """``badword: <entry>`` of the first entry of the list (not of the text) that stands in it as a token.
 
@@ -75,11 +79,15 @@ def bad_word_reason(text: Column, words: list[str] | tuple[str, ...]) -> Column:
     usable = [w for w in dict.fromkeys(entries) if not any("A" <= ch <= "Z" for ch in w)]
     if not usable:
         return F.when(text.isNotNull(), F.lit(""))
-    # At one place the regex takes the first alternative that fits, which is the one wanted.
-    hits = F.regexp_extract_all(T.ascii_lower(text), F.lit(r"(?<![a-z0-9])(?=(" + "|".join(map(T.quote, usable)) + r")(?![a-z0-9]))"), 1)
-    # The intersection keeps the list's order and evaluates the regex once.
-    first = F.get(F.array_intersect(F.array(*[F.lit(w) for w in usable]), hits), F.lit(0))
-    return F.when(text.isNotNull(), F.coalesce(F.concat(F.lit("badword: "), first), F.lit("")))
+    low = T.ascii_lower(text)
+    found = []
+    for at in range(0, len(usable), ENTRIES_A_REGEX):
+        part = usable[at : at + ENTRIES_A_REGEX]
+        # At one place the regex takes the first alternative that fits, which is the one wanted.
+        hits = F.regexp_extract_all(low, F.lit(r"(?<![a-z0-9])(?=(" + "|".join(map(T.quote, part)) + r")(?![a-z0-9]))"), 1)
+        # The intersection keeps the list's order and evaluates the regex once.
+        found.append(F.get(F.array_intersect(F.array(*[F.lit(w) for w in part]), hits), F.lit(0)))
+    return F.when(text.isNotNull(), F.coalesce(F.concat(F.lit("badword: "), F.coalesce(*found)), F.lit("")))
 
 
 def bad_words_by_join(docs: DataFrame, entries: DataFrame, key: str, text: str = "text", entry: str = "entry", order: str = "entry_no") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +49,47 @@ def totals(df: DataFrame, text: str = "text", cfg: Pipeline = Pipeline()) -> Dat
     )
 
 
+def outcomes(df: DataFrame, key: str = "id", text: str = "text", cfg: Pipeline = Pipeline()) -> DataFrame:
+    """``record_id, status, reason, bytes``: a decision with the size of the final text, so that totals need no second pass over texts."""
+    out = chain(df.select(F.col(key).alias("record_id"), F.col(text).alias("_text")), "_text", cfg)
+    return out.select("record_id", status(F.col("reason")).alias("status"), "reason", F.octet_length("final_text").cast("long").alias("bytes"))
+
+
+def tally(outcome: DataFrame) -> DataFrame:
+    """``reason, n, bytes`` of outcomes, kept ones under ``''``: what totals and histogram are both made of."""
+    return outcome.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+
+
+#: The chain's stages in order, each with what it adds to the one before.
+STAGES = ("Extraction", "QualityFilter", "ParagraphFilter", "BadWordsFilter")
+
+
+def timed_stages(records: DataFrame, cfg: Pipeline = Pipeline()) -> DataFrame:
+    """``stage, ms``: wall time that each stage adds, for :func:`profile`; a diagnosis that runs the chain once a stage.
+
+    Stages are fused into one when the chain runs, so each is timed by running the chain up to it.
+    """
+    from .extract import extract_texts
+
+    texts = extract_texts(records)
+    t = F.col("text")
+    good = c4.quality(texts, "text", cfg.quality, "_q")
+    plans = (
+        texts.select(F.octet_length(t).alias("x")),
+        good.select("_q_reason"),
+        good.select("_q_reason", F.when(F.col("_q_reason") == "", c4.paragraph_reason(F.col("_q_text"), cfg.paragraph)).alias("x")),
+        chain(texts, "text", cfg).select("reason"),
+    )
+    out, before = [], 0.0
+    for name, plan in zip(STAGES, plans, strict=True):
+        began = time.perf_counter()
+        plan.write.format("noop").mode("overwrite").save()
+        took = (time.perf_counter() - began) * 1000
+        out.append((name, max(0.0, took - before)))
+        before = took
+    return records.sparkSession.createDataFrame(out, "stage string, ms double")
+
+
 def drop_reasons(decided: DataFrame) -> DataFrame:
     """``reason, n`` of dropped rows (partial aggregation; as few rows as reasons). Sort on demand."""
     return decided.where(F.col("status") == "dropped").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
@@ -75,6 +118,12 @@ def profile(timings: DataFrame) -> DataFrame:
     return timings.groupBy("stage").agg(F.sum("ms").alias("total_ms"), F.count(F.lit(1)).alias("calls"), F.avg("ms").alias("avg_ms"))
 
 
+def kept(df: DataFrame, key: str = "id", text: str = "text", cfg: Pipeline = Pipeline()) -> DataFrame:
+    """``record_id, text`` of kept rows as rewritten."""
+    out = chain(df.select(F.col(key).alias("record_id"), F.col(text)), text, cfg)
+    return out.where(F.col("reason") == "").select("record_id", F.col("final_text").alias("text"))
+
+
 def excluded(df: DataFrame, key: str = "id", text: str = "text", cfg: Pipeline = Pipeline()) -> DataFrame:
     """``record_id, text, stage, reason`` of dropped rows, for a sink partitioned by stage."""
     out = chain(df.select(F.col(key).alias("record_id"), F.col(text)), text, cfg)

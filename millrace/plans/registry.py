@@ -15,8 +15,6 @@ from ..sources.spread import spread
 from .sql import oracle_sql as _sql
 
 Query = Callable[[SparkSession, str], DataFrame]
-#: Entries of a list that may go into one expression; longer lists are joined.
-LITERAL_ENTRIES = 2_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,11 +85,8 @@ def bad_words_fallback(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bad_words_listed(spark: SparkSession, d: str) -> DataFrame:
-    """The list as one expression while it is short; its size is checked first."""
-    entries = table(spark, d, "badwords")
-    if entries.count() > LITERAL_ENTRIES:
-        raise ValueError("a list of this size is joined: bad_words_joined")
-    listed = [r[0] or "" for r in entries.orderBy("entry_no").select("entry").collect()]
+    """The list within one expression; a list is short beside the texts, one too long for an expression is joined."""
+    listed = [r[0] or "" for r in table(spark, d, "badwords").orderBy("entry_no").select("entry").collect()]
     return table(spark, d, "texts").select("id", c4.bad_word_reason(F.col("text"), c4.read_bad_words(listed)).alias("reason"))
 
 

@@ -27,8 +27,8 @@ def json_line(*columns: str) -> Column:
 
 
 def write_excluded(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Dropped rows as JSONL, one folder a stage."""
-    df.write.mode(mode).partitionBy("stage").json(path)
+    """Dropped rows as JSONL, one folder a stage and reason."""
+    df.write.mode(mode).partitionBy("stage", "reason").json(path)
 
 
 def write_differences(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -4,20 +4,30 @@ Fields follow the record parser of the reference: keys are case-sensitive, the l
 repeated headers wins, only blanks before a value go, lines without a colon are
 passed over, and a record without headers ends the scan. A short read ends the file; the
 cut record is delivered with what is there and ``truncated`` true, if asked for.
+
+Local paths and ``file:`` URIs are streamed by the data source; paths of other file
+systems are read through Spark's own ``binaryFile``.
 """
 
 from __future__ import annotations
 
 import glob
 import gzip
+import io
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from urllib.parse import unquote, urlsplit
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 SCHEMA = "path string, ordinal long, id string, url string, type string, headers map<string,string>, content_length long, content binary, truncated boolean"
+_ARROW = pa.schema([("path", pa.string()), ("ordinal", pa.int64()), ("id", pa.string()), ("url", pa.string()), ("type", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("content_length", pa.int64()), ("content", pa.binary()), ("truncated", pa.bool_())])
+#: Records and bytes of content of one Arrow batch, at most (one record may be larger).
+BATCH_ROWS = 256
+BATCH_BYTES = 8 << 20
 
 
 def parse(stream, response_only: bool = False, with_content: bool = True) -> Iterator[tuple]:
@@ -69,6 +79,28 @@ def open_any(path: str):
     return gzip.open(raw, "rb") if magic == b"\x1f\x8b" else raw
 
 
+def batches(path: str, records: Iterable[tuple], keep_cut: bool) -> Iterator[pa.RecordBatch]:
+    """Records of one file as Arrow batches; nothing but the batch at hand is held."""
+    rows: list[tuple] = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+        rows.clear()
+        return made
+
+    for ordinal, rid, url, kind, headers, length, content, cut in records:
+        if cut and not keep_cut:
+            break
+        rows.append((path, ordinal, rid, url, kind, list(headers.items()), length, content, cut))
+        size += len(content or b"")
+        if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
+            yield flush()
+            size = 0
+    if rows:
+        yield flush()
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -83,12 +115,17 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [_File(p) for p in self.paths]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         with open_any(partition.path) as f:
-            for row in parse(f, self.response_only, self.content):
-                if row[-1] and not self.keep_cut:
-                    return
-                yield (partition.path, *row)
+            yield from batches(partition.path, parse(f, self.response_only, self.content), self.keep_cut)
+
+
+def local(path: str) -> str | None:
+    """The path of a local file or ``file:`` URI; None for one of another file system."""
+    parts = urlsplit(path)
+    if len(parts.scheme) < 2:
+        return path
+    return unquote(parts.path) if parts.scheme == "file" else None
 
 
 class WarcSource(DataSource):
@@ -103,37 +140,62 @@ class WarcSource(DataSource):
 
     def reader(self, schema: StructType) -> DataSourceReader:
         given = self.options.get("path", "")
-        paths = sorted(p for g in given.split(",") for p in (glob.glob(os.path.join(g, "*")) if os.path.isdir(g) else glob.glob(g)))
+        wanted = [local(g) for g in given.split(",")]
+        if None in wanted:
+            raise ValueError(f"{given!r} is not local: read_warc reads it through Spark's file systems")
+        paths = sorted(p for g in wanted for p in (glob.glob(os.path.join(g, "*")) if os.path.isdir(g) else glob.glob(g)))
         if not paths:
             raise FileNotFoundError(f"no WARC file at {given!r}")
         return _Reader(paths, self.options)
 
 
 def read_warc(spark: SparkSession, path: str, response_only: bool = False, content: bool = True, keep_truncated: bool = False) -> DataFrame:
-    """Records of WARC files (plain or gzip). A path that matches nothing raises."""
+    """Records of WARC files (plain or gzip) of any file system Spark reaches. A path that matches nothing raises."""
+    if any(local(p) is None for p in path.split(",")):
+        return read_warc_binary(spark, path, response_only, content, keep_truncated)
     spark.dataSource.register(WarcSource)
     return spark.read.format("warc").option("responseOnly", response_only).option("content", content).option("keepTruncated", keep_truncated).load(path)
 
 
-def read_warc_binary(spark: SparkSession, path: str) -> DataFrame:
+def read_warc_binary(spark: SparkSession, path: str, response_only: bool = False, content: bool = True, keep_truncated: bool = False) -> DataFrame:
     """The same records through ``binaryFile``: for object stores that only Spark's own file systems reach.
 
-    Each file is held in memory once, so it suits segments of up to some hundred MB.
+    A file as it is stored is held in memory once, its records are streamed; so it suits segments of up to about a GB.
+    """
+
+    def run(files: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in files:
+            for i in range(batch.num_rows):
+                data = batch.column(1)[i].as_buffer()
+                raw = pa.BufferReader(data)
+                stream = gzip.open(raw, "rb") if data[:2].to_pybytes() == b"\x1f\x8b" else io.BufferedReader(raw)
+                yield from batches(batch.column(0)[i].as_py(), parse(stream, response_only, content), keep_truncated)
+
+    return spark.read.format("binaryFile").load(path.split(",")).select("path", "content").mapInArrow(run, SCHEMA)
+
+
+def write_warc(records: DataFrame, folder: str) -> list[str]:
+    """One plain WARC file a ``path`` of the records, in the order of ``ordinal``, in a folder that all executors share; the files.
+
+    A file's records go through one task, as a file is one sequence; nothing but the record at hand is held.
     """
-    import io
-
-    def run(batches):
-        import pyarrow as pa
-
-        names = ["path", "ordinal", "id", "url", "type", "headers", "content_length", "content", "truncated"]
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.int64(), pa.binary(), pa.bool_()]
-        for batch in batches:
-            for p, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = io.BytesIO(data)
-                stream = gzip.open(raw, "rb") if data[:2] == b"\x1f\x8b" else raw
-                part = [(p, *r[:4], list(r[4].items()), *r[5:]) for r in parse(stream)]
-                for at in range(0, len(part), 256):
-                    cols = list(zip(*part[at : at + 256], strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True)], names=names)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, SCHEMA)
+    def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, at, made = None, None, []
+        for batch in given:
+            for path, rid, url, kind, content in zip(*(batch.column(i) for i in range(5)), strict=True):
+                if path.as_py() != at:
+                    if out:
+                        out.close()
+                    at = path.as_py()
+                    made.append(os.path.join(folder, at.replace("/", "_")))
+                    out = open(made[-1], "wb")
+                body = content.as_py() or b""
+                fields = [("WARC-Type", kind.as_py()), ("WARC-Record-ID", rid.as_py()), ("WARC-Target-URI", url.as_py()), ("Content-Length", str(len(body)))]
+                out.write(b"WARC/1.0\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in fields if v is not None) + b"\r\n" + body + b"\r\n\r\n")
+        if out:
+            out.close()
+        yield pa.RecordBatch.from_pydict({"file": pa.array(made, pa.string())})
+
+    os.makedirs(folder, exist_ok=True)
+    rows = records.select("path", "id", "url", "type", "content", "ordinal").repartition("path").sortWithinPartitions("path", "ordinal").drop("ordinal")
+    return sorted(r[0] for r in rows.mapInArrow(run, "file string").collect())
