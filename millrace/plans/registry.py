@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from ..config import Pipeline
 from ..functions import text as T
-from ..operators import c4, compare, extract, gopher, pipeline
-from ..sinks import csv_line, json_line
+from ..operators import c4, compare, extensions, extract, gopher, pipeline
+from ..sinks import csv_line, json_line, write_decisions, write_differences, write_jsonl
+from ..sources.shared import fresh_folder
 from ..sources.spread import spread
+from ..sources.text import read_decisions, read_jsonl
+from ..sources.warc import read_warc, write_warc
 from .sql import oracle_sql as _sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -185,8 +188,75 @@ def stage_profile(spark: SparkSession, d: str) -> DataFrame:
     return pipeline.profile(rows).select("stage", F.round("total_ms", 4).alias("total_ms"), "calls", F.round("avg_ms", 4).alias("avg_ms"))
 
 
+def warc_read(spark: SparkSession, d: str) -> DataFrame:
+    """All records written as WARC files and read by the WARC source."""
+    folder = fresh_folder(spark)
+    files = write_warc(table(spark, d, "warc_records"), folder.removeprefix("file://"))
+    read = read_warc(spark, ",".join(files)) if files else spark.createDataFrame([], "path string, ordinal long, id string, url string, type string, content_length long, content binary")
+    name = F.element_at(F.split("path", "/"), -1)
+    return read.select(name.alias("file"), "ordinal", "id", "url", "type", "content_length", F.md5("content").alias("digest"))
+
+
+def jsonl_file(spark: SparkSession, d: str) -> DataFrame:
+    """All texts through the JSONL sink and source."""
+    folder = fresh_folder(spark)
+    write_jsonl(table(spark, d, "texts"), folder, compression="gzip")
+    return read_jsonl(spark, folder)
+
+
+def decisions_file(spark: SparkSession, d: str) -> DataFrame:
+    """The table of decisions through the CSV sink and source."""
+    folder = fresh_folder(spark)
+    write_decisions(table(spark, d, "decisions").where("record_id <> ''"), folder)
+    return read_decisions(spark, folder).drop("line")
+
+
+def differences_file(spark: SparkSession, d: str) -> DataFrame:
+    """The comparison report as written."""
+    folder = fresh_folder(spark)
+    write_differences(regression_diff(spark, d), folder)
+    return spark.read.csv(folder, header=True, escape='"')
+
+
+def kept_rows(spark: SparkSession, d: str) -> DataFrame:
+    return pipeline.kept(table(spark, d, "texts"))
+
+
+def outcome_tally(spark: SparkSession, d: str) -> DataFrame:
+    return pipeline.tally(pipeline.outcomes(table(spark, d, "texts")))
+
+
+def url_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """Responses whose host is not that of a document from a blog."""
+    blocked = table(spark, d, "documents").where(F.startswith(F.col("source"), F.lit("blog."))).select(F.col("source").alias("host"))
+    records = table(spark, d, "warc_records").where(F.col("type") == "response").select("path", "ordinal", "url")
+    return extensions.url_filter(records, blocked)
+
+
+def document_languages(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", extensions.language(F.col("text")).alias("language"))
+
+
+def repetition_counts(spark: SparkSession, d: str) -> DataFrame:
+    out = extensions.repetition(table(spark, d, "documents").select("doc_id", "text"))
+    return out.select("doc_id", *extensions.REPETITION, extensions.repetition_reason().alias("reason"))
+
+
+def web_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", extensions.web_text_reason(F.col("text")).alias("reason"))
+
+
+def personal_formatted(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "texts").select("id", extensions.format_personal(F.col("text")).alias("text"))
+
+
+def near_duplicate_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row a document with its class; tested against brute force."""
+    return extensions.near_duplicates(table(spark, d, "documents"), "doc_id")
+
+
 def queries() -> dict[str, Query]:
-    own = [extract_http_body, extract_text, warc_fields, record_types, c4_line_candidates, c4_quality, c4_paragraph, bad_words_fallback, bad_words_listed, bad_words_joined, gopher_metrics, gopher_quality, gopher_verdicts, gopher_summary, pipeline_decisions, document_decisions, pipeline_totals, drop_reasons, excluded_rows, first_500_decisions, decision_csv, jsonl_roundtrip, regression_diff, regression_tally, text_primitives, stage_profile]
+    own = [extract_http_body, extract_text, warc_fields, record_types, c4_line_candidates, c4_quality, c4_paragraph, bad_words_fallback, bad_words_listed, bad_words_joined, gopher_metrics, gopher_quality, gopher_verdicts, gopher_summary, pipeline_decisions, document_decisions, pipeline_totals, drop_reasons, excluded_rows, first_500_decisions, decision_csv, jsonl_roundtrip, regression_diff, regression_tally, text_primitives, stage_profile, warc_read, jsonl_file, decisions_file, differences_file, kept_rows, outcome_tally, url_filtered, document_languages, repetition_counts, web_text, personal_formatted, near_duplicate_classes]
     return {f.__name__: f for f in own}
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..config import FALLBACK_BAD_WORDS, POLICY_PHRASES, STOP_WORDS
+from . import planned_sql
 
 _WS, _NWS = r"[ \t\n\r\f\x0B]", r"[^ \t\n\r\f\x0B]"
 
@@ -160,4 +161,6 @@ CASE type WHEN 'status_mismatch' THEN br END AS reason_base, CASE type WHEN 'sta
 len({_words("text")})::INTEGER AS n_words, strlen(regexp_replace(text, '\[(?:citation needed|edit|[0-9]*)\]', '', 'g'))::INTEGER AS uncited_bytes,
 strlen({_low("text")})::INTEGER AS low_bytes, md5({_low("text")}) AS low_md5, len(list_filter({_words("text")}, lambda w: strlen(w) > 20)) > 0 AS long_word FROM documents WHERE text IS NOT NULL"""
     out["stage_profile"] = "SELECT event_type AS stage, round(sum(value), 4) AS total_ms, count(*) AS calls, round(avg(value), 4) AS avg_ms FROM events GROUP BY event_type"
-    return out
+    out["kept_rows"] = f"WITH {decided()} SELECT id AS record_id, final_text AS text FROM decided WHERE reason = ''"
+    out["outcome_tally"] = f"WITH {decided()} SELECT reason, count(*) AS n, coalesce(sum(strlen(final_text)), 0)::BIGINT AS bytes FROM decided GROUP BY reason"
+    return out | planned_sql.files(out["regression_diff"]) | planned_sql.planned()
