@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 #: The six ASCII blanks and their complement, as regex classes (Java's \\v and \\s differ).
 WS = r"[ \t\n\r\f\x0B]"
 NWS = r"[^ \t\n\r\f\x0B]"
-#: Where a word begins and ends; a word of symbols alone; a line that opens with a bullet or closes with an
+#: Where a word ends; a word of symbols alone after a blank; a line break and a line that opens with a bullet; a line's end with an
 #: ellipsis. Possessive repeats keep them linear on any input.
-AT_WORD, WORD_END = r"(?<![^ \t\n\r\f\x0B])", r"(?![^ \t\n\r\f\x0B])"
-SYMBOL_WORD = AT_WORD + r"[!-/:-@\[-`{-~]++" + WORD_END
-BULLET_LINE = r"(?<![^\n])[ \t\r\f\x0B]*+[-•]"
+WORD_END = r"(?![^ \t\n\r\f\x0B])"
+SYMBOL_WORD = WS + r"([!-/:-@\[-`{-~]++)" + WORD_END
+BULLET_LINE = r"\n[ \t\r\f\x0B]*+[-•]"
 ELLIPSIS_LINE = r"(?:\.\.\.|…)[ \t\r\f\x0B]*+(?![^\n])"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

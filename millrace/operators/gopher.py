@@ -19,7 +19,9 @@ def metrics(df: DataFrame, text: str = "text", cfg: Gopher = Gopher(), prefix: s
     instead of a function call a word. Stop words are case-sensitive occurrences.
     """
     t, w, symbols = F.col(text), f"_{prefix}words", f"_{prefix}symbols"
-    out = T.once(df, {w: T.words(t), symbols: F.regexp_extract_all(t, F.lit(T.SYMBOL_WORD), 0)})
+    # With a blank or line break before it, a word or line is found by that character instead of by looking back at each place.
+    spaced, broken = F.concat(F.lit(" "), t), F.concat(F.lit("\n"), t)
+    out = T.once(df, {w: T.words(t), symbols: F.regexp_extract_all(spaced, F.lit(T.SYMBOL_WORD), 1)})
     words = F.col(w)
     stops = "|".join(T.quote(x) for x in cfg.stop_words)
     counts = {
@@ -27,11 +29,11 @@ def metrics(df: DataFrame, text: str = "text", cfg: Gopher = Gopher(), prefix: s
         "n_real_words": F.size(words) - F.size(F.col(symbols)),
         "real_bytes": F.octet_length(F.translate(t, " \t\n\r\f\x0b", "")) - F.octet_length(F.array_join(F.col(symbols), "")),
         "alpha_words": F.size(F.filter(words, T.has_ascii_letter)),
-        "stop_words": F.regexp_count(t, F.lit(f"{T.AT_WORD}(?:{stops}){T.WORD_END}")) if stops else F.lit(0),
+        "stop_words": F.regexp_count(spaced, F.lit(f"{T.WS}(?:{stops}){T.WORD_END}")) if stops else F.lit(0),
         "hashes": T.count_hashes(t),
         "ellipses": T.count_ellipses(t),
         "n_lines": F.regexp_count(t, F.lit("\n")) + 1,
-        "bullet_lines": F.regexp_count(t, F.lit(T.BULLET_LINE)),
+        "bullet_lines": F.regexp_count(broken, F.lit(T.BULLET_LINE)),
         "ellipsis_lines": F.regexp_count(t, F.lit(T.ELLIPSIS_LINE)),
     }
     return T.once(out, {prefix + k: F.when(t.isNotNull(), v).cast("long") for k, v in counts.items()}).drop(w, symbols)
