@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import durable  # noqa: F401  (of all operators here)
+
 #: Rows handled at a time inside a Python worker; keeps a batch of long texts small.
 SLICE_ROWS = 512
 
@@ -69,20 +69,6 @@ def spread(df: DataFrame, n: int | None = None) -> DataFrame:
     return df if have >= want else df.repartition(want)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the folder all executors share."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        at = spark.conf.get("spark.checkpoint.dir", None)
-        if at is None:
-            if not sc.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            at = tempfile.mkdtemp(prefix="millrace-")
-        sc.setCheckpointDir(f"{at.rstrip('/')}/{uuid.uuid4().hex}")
-    return df.checkpoint()
-
-
 def host_of(url) -> "F.Column":
     """Lower-case host of a URL without user and port; null if there is none."""
     raw = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
