@@ -64,7 +64,7 @@ _TAG = re.compile(r"<[^>]*>")
 _DIGITS = re.compile(r"\d+")
 _LEAD = re.compile(r"([^\W\d_][^:：.!?0-9]{0,24}?) ?[:：] *(\S.*)", re.S)
 _UPPER = "A-ZÀ-ÖØ-ÞА-ЯЁĆČŁŃŚŠŹŻŽ"
-_NAMES = re.compile(rf"(?<= )[{_UPPER}][^ ぀-ヿ㐀-鿿]*(?: [{_UPPER}][^ ぀-ヿ㐀-鿿]*)*")
+_NAMES = re.compile(rf" [{_UPPER}][^ ぀-ヿ㐀-鿿]*(?: [{_UPPER}][^ ぀-ヿ㐀-鿿]*)*")
 _ENDS = " \t\r\n»«.!:;·|→>"
 _hash = xxhash.xxh64_intdigest
 
@@ -92,7 +92,7 @@ def masked(line: str) -> str:
     """A line's wording: numbers and capitalised words (but the first) are holes, ends and case do not count."""
     if "&" in line:
         line = html.unescape(line)
-    made = _NAMES.sub("N", " ".join(line.strip(_ENDS).split())).lower()
+    made = _NAMES.sub(" N", " ".join(line.strip(_ENDS).split())).lower()
     return _DIGITS.sub("0", made) if _DIGITS.search(made) else made
 
 
