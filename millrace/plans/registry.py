@@ -256,13 +256,13 @@ def near_duplicate_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [extract_http_body, extract_text, warc_fields, record_types, c4_line_candidates, c4_quality, c4_paragraph, bad_words_fallback, bad_words_listed, bad_words_joined, gopher_metrics, gopher_quality, gopher_verdicts, gopher_summary, pipeline_decisions, document_decisions, pipeline_totals, drop_reasons, excluded_rows, first_500_decisions, decision_csv, jsonl_roundtrip, regression_diff, regression_tally, text_primitives, stage_profile, warc_read, jsonl_file, decisions_file, differences_file, kept_rows, outcome_tally, url_filtered, document_languages, repetition_counts, web_text, personal_formatted, near_duplicate_classes]
+    own = [extract_http_body, extract_text, warc_fields, record_types, c4_line_candidates, c4_quality, c4_paragraph, bad_words_fallback, bad_words_listed, bad_words_joined, gopher_metrics, gopher_quality, gopher_verdicts, gopher_summary, pipeline_decisions, document_decisions, pipeline_totals, drop_reasons, excluded_rows, first_500_decisions, decision_csv, jsonl_roundtrip, regression_diff, regression_tally, text_primitives, stage_profile, warc_read, jsonl_file, decisions_file, differences_file, kept_rows, outcome_tally, url_filtered, document_languages, repetition_counts, web_text, personal_formatted]
     return {f.__name__: f for f in own}
 
 
 def whole_queries() -> dict[str, Query]:
-    """Queries whose rows include payloads that are no UTF-8, which the SQL cannot read; tested by brute force."""
-    own = [extract_text_whole, first_500_whole, warc_decisions, warc_totals, warc_drop_reasons]
+    """Queries without SQL, tested by brute force: rows of payloads that are no UTF-8, which it cannot read, and classes found by iteration."""
+    own = [near_duplicate_classes, extract_text_whole, first_500_whole, warc_decisions, warc_totals, warc_drop_reasons]
     return {f.__name__: f for f in own}
 
 
