@@ -14,7 +14,13 @@ from ..sources.shared import durable  # noqa: F401  (of all operators here)
 SLICE_ROWS = 512
 
 
+#: Rows of one Arrow batch between the JVM and Python, where the session leaves it at Spark's default: rows here are whole pages.
+BATCH_ROWS = 1_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

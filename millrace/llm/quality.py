@@ -72,14 +72,13 @@ EXPECTED_WORDS = 500
 #: Words that a line needs to tell of its language's prose.
 PROSE_WORDS = 8
 #: Distinct words a worker remembers.
-MEMO = 200_000
+MEMO = 100_000
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,:/-]\d+)*|[^\w\s]+|_+")
 _ASCII_TOKEN = re.compile(r"[A-Za-z]+|[0-9]+(?:[.,:/-][0-9]+)*|[^A-Za-z0-9_ \t\r\n\f\v]+|_+", re.A)
 _KANA_TOKEN = re.compile(r"[぀-ゟ]|[゠-ヿ]+|[㐀-鿿]+|[A-Za-z]+|\d+(?:[.,:/-]\d+)*|[^\w\s]+")
 _KANA = re.compile(r"[぀-ゟ]")
 _LETTERS = re.compile(r"[^\W\d_]+")
-_OVERSIZED = re.compile(r"\S{31,}")
 #: Charsets that text is read in for each other, for lines that carry no language as they stand.
 _MISREAD = (("cp1252", "utf-8"), ("cp1252", "cp1251"), ("latin-1", "utf-8"), ("latin-1", "cp1251"), ("koi8-r", "cp1251"), ("cp1251", "koi8-r"), ("cp866", "cp1251"), ("cp1251", "cp866"), ("cp1251", "utf-8"), ("cp1250", "utf-8"), ("cp437", "utf-8"), ("mac_roman", "utf-8"), ("iso8859-2", "cp1250"), ("cp1252", "shift_jis"), ("latin-1", "shift_jis"), ("latin-1", "euc-jp"), ("cp1252", "koi8-r"), ("mac_roman", "cp1251"), ("shift_jis", "utf-8"), ("cp1252", "cp1250"), ("cp1252", "iso8859-2"), ("cp1252", "cp866"), ("cp437", "cp1252"), ("mac_roman", "cp1252"), ("cp1252", "euc-jp"), ("cp866", "utf-8"))
 _END = re.compile(r"[.!?…。！？:;\"'”»)]\s*$")
@@ -143,9 +142,48 @@ class _Sorts(dict):
         return got
 
 
+class _Chunks(dict):
+    """Of a chunk between blanks, the classes of its tokens in one language: an index if it is one, else all that count.
+
+    Tokens never reach over a blank, so a line's classes are those of its chunks, which are few and remembered.
+    """
+
+    def __init__(self, lang: str):
+        super().__init__()
+        self.sorts = _Sorts(lang)
+
+    def __missing__(self, chunk: str) -> int | tuple[tuple[int, float], ...]:
+        sort, found = self.sorts, Counter()
+        for t in _tokens(chunk):
+            c = sort[t]
+            if c == 8:
+                found[6 if t[0].isalpha() else 5] += len(t) / 6 if t[0].isalpha() else len(t)
+            elif c != 7:
+                found[c] += 1
+        # A chunk that mixes everything is one string, however it falls apart.
+        if len(chunk) > 30:
+            found[6] += len(chunk) / 6
+        got = next(iter(found)) if len(found) == 1 and next(iter(found.values())) == 1 else tuple(found.items())
+        if len(self) < MEMO:
+            self[chunk] = got
+        return got
+
+
+class _Spoken(dict):
+    """Of a chunk, how many of its tokens are words, and of which languages each is a function word."""
+
+    def __missing__(self, chunk: str) -> tuple[int, tuple[int, ...], tuple[str, ...]]:
+        own = [t for t in _tokens(chunk) if _words[t] is not None]
+        got = len(own), tuple(i for t in own for i in _words[t]), tuple(own)
+        if len(self) < MEMO:
+            self[chunk] = got
+        return got
+
+
 _PLAIN_MARKS = frozenset([".", ",", "(", ")", "?", "!", "'", "’", "-", "—", "–", '"', "¿", "¡", "«", "»"])
 _words = _Words()
-_sorts: dict[str, _Sorts] = {lang: _Sorts(lang) for lang in ("", *_ALL)}
+_spoken = _Spoken()
+_chunks: dict[str, _Chunks] = {lang: _Chunks(lang) for lang in ("", *_ALL)}
 
 
 def tongue_of(seen: Counter[str]) -> tuple[str, float]:
@@ -165,6 +203,24 @@ def tongue_of(seen: Counter[str]) -> tuple[str, float]:
     return (_LANGS[best], share) if share > 0.04 else ("", 0.0)
 
 
+def tongue_of_chunks(seen: Counter[str]) -> tuple[str, float]:
+    """``tongue_of`` the tokens of counted chunks."""
+    hits, total = [0] * len(_LANGS), 0
+    kinds: list[set[str]] = [set() for _ in _LANGS]
+    of = _spoken
+    for chunk, n in seen.items():
+        words, langs, own = of[chunk]
+        total += words * n
+        if langs:
+            for t in own:
+                for i in _words[t]:
+                    hits[i] += n
+                    kinds[i].add(t)
+    best = max(range(len(_LANGS)), key=lambda i: (hits[i] * (1 + 0.02 * len(kinds[i])), -i))
+    share = hits[best] / max(1, total)
+    return (_LANGS[best], share) if share > 0.04 else ("", 0.0)
+
+
 def tongue(text: str) -> tuple[str, float]:
     """``tongue_of`` a text; Japanese by its kana."""
     if not text.isascii() and (kana := len(_KANA.findall(text))) > 0.12 * len(text):
@@ -172,9 +228,9 @@ def tongue(text: str) -> tuple[str, float]:
     return tongue_of(Counter(_LETTERS.findall(text)))
 
 
-def counts(line: str, lang: str, tokens: list[str] | None = None) -> list[float]:
+def counts(line: str, lang: str, chunks: list[str] | None = None) -> list[float]:
     """How often a line's words fall on each of ``CLASSES``."""
-    n: list[float] = [0] * 9
+    n: list[float] = [0] * 7
     if lang == "ja":
         for t in _KANA_TOKEN.findall(line):
             c = t[0]
@@ -188,22 +244,14 @@ def counts(line: str, lang: str, tokens: list[str] | None = None) -> list[float]
                 n[3 if c.isupper() else 2] += 1
             elif t not in "、。":
                 n[5] += 1
-        return n[:7]
-    tokens = _tokens(line) if tokens is None else tokens
-    sort = _sorts[lang]
-    for c in map(sort.__getitem__, tokens):
-        n[c] += 1
-    if n[8]:
-        for t in tokens:
-            if sort[t] == 8:
-                if t[0].isalpha():
-                    n[6] += len(t) / 6
-                else:
-                    n[5] += len(t)
-    # A chunk without blanks that mixes everything is one string, however it falls apart.
-    for chunk in _OVERSIZED.findall(line):
-        n[6] += len(chunk) / 6
-    return n[:7]
+        return n
+    for c, k in Counter(map(_chunks[lang].__getitem__, line.split() if chunks is None else chunks)).items():
+        if type(c) is int:
+            n[c] += k
+        else:
+            for i, x in c:
+                n[i] += x * k
+    return n
 
 
 def readable(own: list[str], strength: float) -> list[str]:
@@ -244,10 +292,10 @@ def structure(own: list[str]) -> Structure:
         return "", []
     plain = text.isascii()
     if not plain and (kana := len(_KANA.findall(text))) > 0.12 * len(text):
-        lang, strength, tokens = "ja", kana / len(text), [None] * len(own)
+        lang, strength, chunks = "ja", kana / len(text), [None] * len(own)
     else:
-        tokens = [_tokens(x) for x in own]
-        lang, strength = tongue_of(Counter(chain.from_iterable(tokens)))
+        chunks = [x.split() for x in own]
+        lang, strength = tongue_of_chunks(Counter(chain.from_iterable(chunks)))
     whole = False
     if strength < 0.2 and not plain:
         odd = len(text) - len(text.encode("ascii", "ignore"))
@@ -256,12 +304,12 @@ def structure(own: list[str]) -> Structure:
             if fixed is not own:
                 own = fixed
                 lang = tongue("\n".join(own))[0]
-                tokens = [None] * len(own)
+                chunks = [None] * len(own)
             else:
                 # Unreadable, but in paragraphs.
                 whole = strength < 0.1 and odd > 0.15 * len(text) and sum(map(len, own)) > 60 * len(own) and sum(c.isdigit() for c in text) < 0.1 * len(text)
     out = []
-    for line, have in zip(own, tokens, strict=True):
+    for line, have in zip(own, chunks, strict=True):
         n = counts(line, lang, have)
         flags = 1 if _END.search(line) else 0
         if len(line) < 12 if lang == "ja" else sum(n[:4]) < 4:
