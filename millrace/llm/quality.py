@@ -81,6 +81,7 @@ _KANA = re.compile(r"[぀-ゟ]")
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Charsets that text is read in for each other, for lines that carry no language as they stand.
 _MISREAD = (("cp1252", "utf-8"), ("cp1252", "cp1251"), ("latin-1", "utf-8"), ("latin-1", "cp1251"), ("koi8-r", "cp1251"), ("cp1251", "koi8-r"), ("cp866", "cp1251"), ("cp1251", "cp866"), ("cp1251", "utf-8"), ("cp1250", "utf-8"), ("cp437", "utf-8"), ("mac_roman", "utf-8"), ("iso8859-2", "cp1250"), ("cp1252", "shift_jis"), ("latin-1", "shift_jis"), ("latin-1", "euc-jp"), ("cp1252", "koi8-r"), ("mac_roman", "cp1251"), ("shift_jis", "utf-8"), ("cp1252", "cp1250"), ("cp1252", "iso8859-2"), ("cp1252", "cp866"), ("cp437", "cp1252"), ("mac_roman", "cp1252"), ("cp1252", "euc-jp"), ("cp866", "utf-8"))
+_ENDINGS = frozenset(".!?…。！？:;\"'”»)")
 _END = re.compile(r"[.!?…。！？:;\"'”»)]\s*$")
 #: Characters that hardly any script uses among its letters, but wrong decoding yields.
 _GARBLE = re.compile(r"[\x80-\xbf\u0192\u02c6\u02dc\u2018-\u203a\u20ac\u2122\u2200-\u25ff\ufffd\uff61-\uff9f]|[\u0400-\u040f\u0450\u0452-\u045f]|[À-ÿ](?=[À-ÿ])")
@@ -311,7 +312,7 @@ def structure(own: list[str]) -> Structure:
     out = []
     for line, have in zip(own, chunks, strict=True):
         n = counts(line, lang, have)
-        flags = 1 if _END.search(line) else 0
+        flags = 1 if line[-1:] in _ENDINGS else 0  # lines of ``core`` end in no blank
         if len(line) < 12 if lang == "ja" else sum(n[:4]) < 4:
             flags |= 2
         if whole or len(line) > 60 and not line.isascii() and len(_GARBLE.findall(line)) > 0.12 * len(line):
