@@ -28,3 +28,18 @@ def test_results_are_registered():
     from millrace.llm import queries
 
     assert {"p3_bodies", "p3_record_bodies", "p4_restored", "p4_record_texts", "p6_texts"} <= set(queries.queries())
+
+
+def test_records_beyond_the_table(spark):
+    words = "según la solución todavía necesita más atención después reunión año canción niño también opinión".split()
+    texts = spark.createDataFrame([(f"t{i}", " ".join(words[i % 7 :] + words[: i % 7])) for i in range(40)], "id string, text string")
+    good = "<p>" + " ".join(words) + "</p>"
+    raw = [good.encode("cp1252"), good.encode("mac_roman"), good.encode().decode("cp1252").encode(), good.replace("canción", "canci�n").encode(), good.encode(), b"plain", b"", None]
+    df = spark.createDataFrame([("f", i, f"r{i}", "response", x) for i, x in enumerate(raw)], "path string, ordinal long, id string, type string, content binary")
+    whole, few = charset.fit(texts), charset.fit(texts, size=2)
+    assert whole.rest is None and few.rest is not None
+    want = {r["id"]: (r["text"], r["affected"]) for r in charset.record_texts(df, whole).collect()}
+    assert all(want[f"r{i}"][0].strip() == " ".join(words) for i in range(5)) and want["r2"][1] and want["r3"][1]
+    assert {r["id"]: (r["text"], r["affected"]) for r in charset.record_texts(df, few).collect()} == want
+    bodies = [{r["id"]: r["body"] for r in pages.record_bodies(df, m).collect()} for m in (whole, few)]
+    assert bodies[0] == bodies[1]
