@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 
@@ -221,3 +222,23 @@ def test_statistics(spark):
     assert got["c"]["words"] == 0 and got["d"]["words"] is None and got["b"]["kind"] == "table"
     assert [r[0] for r in quality.not_prose_ids(df).collect()] == ["b"]
     assert quality.statistics(df.limit(0)).count() == 0 and quality.not_prose_ids(df.limit(0)).count() == 0
+
+
+def test_subjects_are_fitted_on_all_labelled_documents(spark):
+    # Each of 300 rare terms stands in twelve of 3,600 documents of its subject; with 3,600 others these are more than the 5,000 of a sample.
+    def name(i):
+        return "zq" + "".join(chr(97 + i // 26**k % 26) for k in range(3))
+
+    docs = [(i, f"The {name(i % 300)} was there in the {THINGS[i % 8]} and it is so.") for i in range(3600)]
+    docs += [(i, f"The {THINGS[i % 8]} was there in the {THINGS[i % 7]} and it is so.") for i in range(3600, 7200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, "music" if i < 3600 else "law") for i, _ in docs], "doc_id long, subject string")
+    assert subjects.labelled(df, lab).count() == 7200
+    sample = subjects.labelled(df, lab)
+    counts = subjects.counted(sample, subjects.often(sample, 7200))
+    got = {r["term"]: (r["n"], r["trained"]) for r in counts.where("subject = 'music' AND term LIKE 'zq%' AND term NOT LIKE '% %'").collect()}
+    assert len(got) == 300 and all(n == 12 for n, _ in got.values()) and sum(x for _, x in got.values()) < 3600
+    weights = subjects.fit(df, lab).value[0]
+    # By hand: 12 of 3,600 inside, none of 3,600 outside.
+    want = (math.log(12.5 / 3601) - math.log(0.5 / 3601) - math.sqrt(1 / 12.5 + 1 / 0.5)) * math.log(7201 / 12.5) / math.log(7201 / 0.5)
+    assert all(abs(weights[name(i)]["music"] - want) < 1e-9 for i in range(300))
