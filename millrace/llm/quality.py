@@ -14,7 +14,7 @@ import html
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 from pyspark.sql import DataFrame
@@ -143,8 +143,12 @@ class _Sorts(dict):
         return got
 
 
+#: What a chunk is if no token of it counts, and if it is not one token of one class.
+NOTHING, MIXED = 7, 8
+
+
 class _Chunks(dict):
-    """Of a chunk between blanks, the classes of its tokens in one language: an index if it is one, else all that count.
+    """Of a chunk between blanks, the class of its token in one language, ``NOTHING`` or ``MIXED``.
 
     Tokens never reach over a blank, so a line's classes are those of its chunks, which are few and remembered.
     """
@@ -152,8 +156,12 @@ class _Chunks(dict):
     def __init__(self, lang: str):
         super().__init__()
         self.sorts = _Sorts(lang)
+        self.mixed: dict[str, tuple[tuple[int, float], ...]] = {}
 
-    def __missing__(self, chunk: str) -> int | tuple[tuple[int, float], ...]:
+    def classes(self, chunk: str) -> tuple[tuple[int, float], ...]:
+        """The classes of all tokens of a chunk that count, and how much each counts."""
+        if chunk in self.mixed:
+            return self.mixed[chunk]
         sort, found = self.sorts, Counter()
         for t in _tokens(chunk):
             c = sort[t]
@@ -164,18 +172,42 @@ class _Chunks(dict):
         # A chunk that mixes everything is one string, however it falls apart.
         if len(chunk) > 30:
             found[6] += len(chunk) / 6
-        got = next(iter(found)) if len(found) == 1 and next(iter(found.values())) == 1 else tuple(found.items())
+        return tuple(found.items())
+
+    def __missing__(self, chunk: str) -> int:
+        own = self.classes(chunk)
+        got = NOTHING if not own else own[0][0] if len(own) == 1 and own[0][1] == 1 else MIXED
         if len(self) < MEMO:
             self[chunk] = got
+            if got == MIXED:
+                self.mixed[chunk] = own
         return got
 
 
+class _Speech:
+    """How many words a chunk has, and the function words among them with their languages; chunks that are alike in this share one."""
+
+    __slots__ = ("functions", "words")
+
+    def __init__(self, words: int, functions: tuple[tuple[str, tuple[int, ...]], ...]):
+        self.words, self.functions = words, functions
+
+
 class _Spoken(dict):
-    """Of a chunk, how many of its tokens are words, and of which languages each is a function word."""
+    """The ``_Speech`` of a chunk, remembered; there are few different ones, so a text's are counted instead of its chunks."""
 
-    def __missing__(self, chunk: str) -> tuple[int, tuple[int, ...], tuple[str, ...]]:
-        own = [t for t in _tokens(chunk) if _words[t] is not None]
-        got = len(own), tuple(i for t in own for i in _words[t]), tuple(own)
+    def __init__(self) -> None:
+        super().__init__()
+        self.shared: dict[tuple, _Speech] = {}
+
+    def __missing__(self, chunk: str) -> _Speech:
+        own = [(t, langs) for t in _tokens(chunk) if (langs := _words[t]) is not None]
+        what = len(own), tuple(x for x in own if x[1])
+        got = self.shared.get(what)
+        if got is None:
+            got = _Speech(*what)
+            if len(self.shared) < MEMO:
+                self.shared[what] = got
         if len(self) < MEMO:
             self[chunk] = got
         return got
@@ -204,19 +236,16 @@ def tongue_of(seen: Counter[str]) -> tuple[str, float]:
     return (_LANGS[best], share) if share > 0.04 else ("", 0.0)
 
 
-def tongue_of_chunks(seen: Counter[str]) -> tuple[str, float]:
-    """``tongue_of`` the tokens of counted chunks."""
+def tongue_of_chunks(chunks: Iterable[str]) -> tuple[str, float]:
+    """``tongue_of`` the tokens of chunks."""
     hits, total = [0] * len(_LANGS), 0
     kinds: list[set[str]] = [set() for _ in _LANGS]
-    of = _spoken
-    for chunk, n in seen.items():
-        words, langs, own = of[chunk]
-        total += words * n
-        if langs:
-            for t in own:
-                for i in _words[t]:
-                    hits[i] += n
-                    kinds[i].add(t)
+    for speech, n in Counter(map(_spoken.__getitem__, chunks)).items():
+        total += speech.words * n
+        for t, langs in speech.functions:
+            for i in langs:
+                hits[i] += n
+                kinds[i].add(t)
     best = max(range(len(_LANGS)), key=lambda i: (hits[i] * (1 + 0.02 * len(kinds[i])), -i))
     share = hits[best] / max(1, total)
     return (_LANGS[best], share) if share > 0.04 else ("", 0.0)
@@ -246,11 +275,14 @@ def counts(line: str, lang: str, chunks: list[str] | None = None) -> list[float]
             elif t not in "、。":
                 n[5] += 1
         return n
-    for c, k in Counter(map(_chunks[lang].__getitem__, line.split() if chunks is None else chunks)).items():
-        if type(c) is int:
-            n[c] += k
-        else:
-            for i, x in c:
+    if chunks is None:
+        chunks = line.split()
+    own = _chunks[lang]
+    found = bytes(map(own.__getitem__, chunks))
+    n = [found.count(c) for c in range(7)]
+    if MIXED in found:
+        for classes, k in Counter(own.classes(x) for x, c in zip(chunks, found, strict=True) if c == MIXED).items():
+            for i, x in classes:
                 n[i] += x * k
     return n
 
@@ -260,10 +292,15 @@ def readable(own: list[str], strength: float) -> list[str]:
     for _ in range(2):  # text can be misread twice
         whole = "\n".join(own)
         best = None
+        raw: dict[str, bytes] = {}
+        tried: set[str] = set()
         for wrong, right in _MISREAD:
-            made = whole.encode(wrong, "ignore").decode(right, "ignore")
-            if len(made) <= 0.3 * len(whole):
+            if wrong not in raw:
+                raw[wrong] = whole.encode(wrong, "ignore")
+            made = raw[wrong].decode(right, "ignore")
+            if len(made) <= 0.3 * len(whole) or made in tried:  # the same text is no better the second time
                 continue
+            tried.add(made)
             found = tongue(made)[1]
             if found > max(0.12, 1.15 * strength):
                 best, strength = (wrong, right), found
@@ -273,18 +310,29 @@ def readable(own: list[str], strength: float) -> list[str]:
     return own
 
 
-def core(lines: list[str], keep: list[int]) -> list[str]:
-    """Lines of a main body without headline, byline, dates (both as ``pages.Weights.keep`` has them) and credits."""
+def core(lines: list[str], keep: list[int]) -> tuple[list[str], list[list[str]]]:
+    """Lines of a main body without headline, byline, dates (both as ``pages.Weights.keep`` has them) and credits, and the chunks of each."""
     own = [lines[i] for i in keep[1:] if i >= 0]
-    own = [" ".join(x.split()) for x in own if not is_credit(x)]
-    return [html.unescape(x) if "&" in x else x for x in own]
+    chunks = [x.split() for x in own if not is_credit(x)]
+    own = list(map(" ".join, chunks))
+    for i, x in enumerate(own):
+        if "&" in x:
+            own[i] = html.unescape(x)
+            chunks[i] = own[i].split()
+    return own, chunks
+
+
+def garbled(line: str) -> bool:
+    """Whether an eighth of a line's characters, about, are such as wrong decoding yields; none of these is ASCII."""
+    least = 0.12 * len(line)
+    return len(line) - len(line.encode("ascii", "ignore")) > least and len(_GARBLE.findall(line)) > least
 
 
 Structure = tuple[str, list[tuple[list[float], int, int]]]
 
 
-def structure(own: list[str]) -> Structure:
-    """The language of a body, and of each line the counts on ``CLASSES``, its length, and what decides beside them.
+def structure(own: list[str], chunks: list[list[str]] | None = None) -> Structure:
+    """The language of a body, and of each line (with its ``chunks``, as of ``core``) the counts on ``CLASSES``, its length, and what decides beside them.
 
     The last is 1 for a line that ends as a sentence, 2 for one too short for prose, 4 for a paragraph that was decoded wrongly.
     """
@@ -295,8 +343,8 @@ def structure(own: list[str]) -> Structure:
     if not plain and (kana := len(_KANA.findall(text))) > 0.12 * len(text):
         lang, strength, chunks = "ja", kana / len(text), [None] * len(own)
     else:
-        chunks = [x.split() for x in own]
-        lang, strength = tongue_of_chunks(Counter(chain.from_iterable(chunks)))
+        chunks = [x.split() for x in own] if chunks is None else chunks
+        lang, strength = tongue_of_chunks(chain.from_iterable(chunks))
     whole = False
     if strength < 0.2 and not plain:
         odd = len(text) - len(text.encode("ascii", "ignore"))
@@ -315,7 +363,7 @@ def structure(own: list[str]) -> Structure:
         flags = 1 if line[-1:] in _ENDINGS else 0  # lines of ``core`` end in no blank
         if len(line) < 12 if lang == "ja" else sum(n[:4]) < 4:
             flags |= 2
-        if whole or len(line) > 60 and not line.isascii() and len(_GARBLE.findall(line)) > 0.12 * len(line):
+        if whole or len(line) > 60 and not line.isascii() and garbled(line):
             flags |= 4
         out.append((n, len(line), flags))
     return lang, out
@@ -331,14 +379,16 @@ class Profiles:
             for i, x in enumerate((measured or {}).get(name.partition("-")[2], ())):
                 n[i] += x
             self.all[name] = tuple(x / sum(n) for x in n)
-        self.known: dict[tuple[float, ...], str] = {}
+        self.known: dict[tuple[int, ...], str] = {}
 
-    def nearest(self, p: tuple[float, ...]) -> str:
-        got = self.known.get(p)
+    def kind(self, twentieths: tuple[int, ...]) -> str:
+        """The kind of the nearest profile to such shares of the classes, each a number of twentieths."""
+        got = self.known.get(twentieths)
         if got is None:
-            got = min(self.all, key=lambda name: divergence(p, self.all[name]))
+            p = tuple(x / 20 for x in twentieths)
+            got = min(self.all, key=lambda name: divergence(p, self.all[name])).partition("-")[0]
             if len(self.known) < MEMO:
-                self.known[p] = got
+                self.known[twentieths] = got
         return got
 
     def shape(self, found: Structure) -> tuple[str, float]:
@@ -346,7 +396,7 @@ class Profiles:
         kinds: Counter[str] = Counter()
         for n, size, flags in found[1]:
             total = sum(n)
-            kind = self.nearest(tuple(round(20 * x / total) / 20 for x in n)).partition("-")[0] if total else "table"
+            kind = self.kind(tuple([round(20 * x / total) for x in n])) if total else "table"
             if kind == "prose" and flags & 2:
                 kind = "list"
             if kind != "prose" and flags & 4:
@@ -379,7 +429,7 @@ def unpacked(text: str) -> Structure:
 
 def structures(df: DataFrame, model: pages.Model, key: str = "id", text: str = "text") -> DataFrame:
     """Fragments of ``residue`` with the ``packed`` structure of each body in the rows ``ADDED``: one pass for both."""
-    return residue.fragments(df, model, key, text, lambda k, lines, keep: packed(structure(core(lines, keep))))
+    return residue.fragments(df, model, key, text, lambda k, lines, keep: packed(structure(*core(lines, keep))))
 
 
 def measured(found: DataFrame, words: str = "words") -> Profiles:
@@ -459,7 +509,7 @@ def statistics(df: DataFrame, key: str = "id", text: str = "text", model: pages.
                 sum(bool(_END.search(x)) for x in lines) / len(lines) if lines else 0.0,
                 sum(w.lower() in common for w in seen) / len(seen) if seen else 0.0,
                 lang,
-                packed(structure(core(*pages.body_lines(t, weights.value, rare, memo)))),
+                packed(structure(*core(*pages.body_lines(t, weights.value, rare, memo)))),
             )
 
     plain = "words int, mean_word double, symbol_ratio double, digit_ratio double, lines int, ending_lines double, common_words double, language string"

@@ -191,6 +191,29 @@ def test_structural_profiles():
     assert kind([]) == "prose"
 
 
+def test_lines_are_described_once(monkeypatch):
+    # Classes by chunk are those of all tokens one by one.
+    for lang in ("en", "fr", ""):
+        own, n = quality._Sorts(lang), [0] * 7
+        line = "Of the mill-keepers, d'un | 1,200 §§§ --- The l'eau (NASA) = ???! " + "x" * 27 + " . Harbour-Bell-" + "a" * 20
+        for chunk in line.split():
+            n[6] += len(chunk) / 6 if len(chunk) > 30 else 0
+            for t in quality._tokens(chunk):
+                c = own[t]
+                if c == 8:
+                    n[6 if t[0].isalpha() else 5] += len(t) / 6 if t[0].isalpha() else len(t)
+                elif c != 7:
+                    n[c] += 1
+        assert all(abs(x - y) < 1e-9 for x, y in zip(quality.counts(line, lang), n, strict=True))
+    # What several pairs of charsets make of a text is looked at once.
+    tried, tongue = [], quality.tongue
+    monkeypatch.setattr(quality, "tongue", lambda text: tried.append(text) or tongue(text))
+    body = ["Blöße über Größe, Öl für Süßes"] * 2
+    assert quality.readable(body, 1.0) is body
+    assert len(tried) == len(set(tried)) > 5
+    assert quality.readable([PROSE["ru"].encode("cp1251").decode("cp1252")], 0.0) == [PROSE["ru"]]
+
+
 def test_divergence():
     profiles = quality.Profiles().all
     p, q = profiles["prose-en"], profiles["junk-log"]
