@@ -11,6 +11,7 @@ lie mostly in lines of other profiles is a list, a table or junk.
 from __future__ import annotations
 
 import html
+import json
 import math
 import re
 from collections import Counter
@@ -162,16 +163,18 @@ class _Chunks(dict):
         """The classes of all tokens of a chunk that count, and how much each counts."""
         if chunk in self.mixed:
             return self.mixed[chunk]
-        sort, found = self.sorts, Counter()
+        sort = self.sorts
+        found: dict[int, float] = {}
         for t in _tokens(chunk):
             c = sort[t]
             if c == 8:
-                found[6 if t[0].isalpha() else 5] += len(t) / 6 if t[0].isalpha() else len(t)
+                c, n = (6, len(t) / 6) if t[0].isalpha() else (5, len(t))
+                found[c] = found.get(c, 0) + n
             elif c != 7:
-                found[c] += 1
+                found[c] = found.get(c, 0) + 1
         # A chunk that mixes everything is one string, however it falls apart.
         if len(chunk) > 30:
-            found[6] += len(chunk) / 6
+            found[6] = found.get(6, 0) + len(chunk) / 6
         return tuple(found.items())
 
     def __missing__(self, chunk: str) -> int:
@@ -412,19 +415,27 @@ class Profiles:
         return kinds.most_common(1)[0][0], share
 
 
+_profiles: dict[int, tuple[dict, Profiles]] = {}
+
+
+def _profiles_of(value: dict[str, tuple[float, ...]]) -> Profiles:
+    """One a worker process and broadcast value, so that what is known of the nearest profiles stays; kept with the value, so that its identity stays its own."""
+    if id(value) not in _profiles:
+        _profiles.clear()
+        made = Profiles()
+        made.all = value
+        _profiles[id(value)] = value, made
+    return _profiles[id(value)][1]
+
+
 def packed(found: Structure) -> str:
     """A structure as one string, so that a row of ``residue.fragments`` can carry it."""
-    lang, lines = found
-    return ";".join([lang, *(",".join(map(repr, [*n, size, flags])) for n, size, flags in lines)])
+    return json.dumps(found, separators=(",", ":"))
 
 
 def unpacked(text: str) -> Structure:
-    lang, *lines = text.split(";")
-    out = []
-    for x in lines:
-        *n, size, flags = map(float, x.split(","))
-        out.append((n, int(size), int(flags)))
-    return lang, out
+    lang, lines = json.loads(text)
+    return lang, list(map(tuple, lines))
 
 
 def structures(df: DataFrame, model: pages.Model, key: str = "id", text: str = "text") -> DataFrame:
@@ -458,8 +469,7 @@ def kinds_of(found: DataFrame, key: str = "id", words: str = "words") -> DataFra
     profiles = found.sparkSession.sparkContext.broadcast(measured(found, words).all)
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        own = Profiles()
-        own.all = profiles.value
+        own = _profiles_of(profiles.value)
         for k, w in rows:
             made = unpacked(w)
             yield k, *own.shape(made), made[0]
@@ -492,7 +502,7 @@ def statistics(df: DataFrame, key: str = "id", text: str = "text", model: pages.
         memo: dict[str, pages.Line] = {}
         for k, t, rare in rows:
             if t is None:
-                yield (k,) + (None,) * 8 + ("",)
+                yield (k,) + (None,) * 8 + (packed(("", [])),)
                 continue
             seen = _LETTERS.findall(t)
             lines = [x for x in t.split("\n") if x.strip()]
@@ -518,8 +528,7 @@ def statistics(df: DataFrame, key: str = "id", text: str = "text", model: pages.
     profiles = each.sparkSession.sparkContext.broadcast(measured(each, "_packed").all)
 
     def last(rows: Iterator[tuple]) -> Iterator[tuple]:
-        own = Profiles()
-        own.all = profiles.value
+        own = _profiles_of(profiles.value)
         for *row, made in rows:
             yield *row, *((None, None) if row[1] is None else own.shape(unpacked(made)))
 
